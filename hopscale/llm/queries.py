@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopscale.llm import chat, mixing, quality_rules, sharding
+from hopscale.llm import chat, mixing, quality_rules, sharding, simhash
 from hopscale.llm.text import n_space_words
 
 
@@ -23,6 +23,12 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", *[f"_rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    r = simhash.near_duplicates(docs, shingle=3)
+    return r.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     s = sharding.shard_rows(docs, n_shards=8)
@@ -51,6 +57,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op4_line_rules": op4_line_rules,
+    "op5_simhash": op5_simhash,
     "op7_interleave": op7_interleave,
     "op8_chat": op8_chat,
 }
