@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopscale.llm import chat, mixing, quality_rules, sharding, simhash
+from hopscale.llm import chat, decontaminate, licenses, mixing, quality_rules, sharding, simhash
 from hopscale.llm.text import n_space_words
 
 
@@ -17,6 +17,22 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    r = licenses.scan(docs)
+    r = r.withColumn("_at", F.transform(F.filter("_license.places", lambda p: p["base"]), lambda p: p["word"]))
+    return r.select(
+        "doc_id",
+        "_license.n_words",
+        F.size("_at").cast("long").alias("n_base"),
+        F.array_min("_at").cast("long").alias("first_word"),
+        F.array_max("_at").cast("long").alias("last_word"),
+        F.array_join("_license.base_labels", ",").alias("base_labels"),
+        F.array_join("_license.labels", ",").alias("labels"),
+        "_license.score",
+    )
+
+
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     r = quality_rules.clean_lines(docs)
@@ -29,6 +45,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_leaks(docs, items, threshold=0.8)
+    # repeated ids with other texts: the fullest copy counts
+    return found.groupBy("doc_id", "item_id").agg(F.first("same_items").alias("same_items"), F.first("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"), F.max("containment").alias("containment"))
+
+
 def op7_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     s = sharding.shard_rows(docs, n_shards=8)
@@ -56,8 +80,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_license_scan": op2_license_scan,
     "op4_line_rules": op4_line_rules,
     "op5_simhash": op5_simhash,
+    "op6_leaks": op6_leaks,
     "op7_interleave": op7_interleave,
     "op8_chat": op8_chat,
 }
@@ -130,3 +156,30 @@ SELECT conv_id, count(*) AS n_turns,
        bool_and(ok) AS valid
 FROM v GROUP BY conv_id
 """
+
+_OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLES["op6_leaks"] = rf"""
+WITH i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_OTHER}'), lambda x: x <> '') AS w FROM benchmark
+), ik AS (
+  SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0
+), ig AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS g FROM ik, unnest(range(1, len(w) - k + 2)) AS r(j)
+), sets AS (
+  SELECT item_id, k, list(g ORDER BY g) AS gs FROM ig GROUP BY ALL
+), classes AS (
+  SELECT min(item_id) AS item_id, list(item_id ORDER BY item_id) AS same_items, k, gs FROM sets GROUP BY k, gs
+), cg AS (
+  SELECT item_id, k, unnest(gs) AS g FROM classes
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_OTHER}'), lambda x: x <> '') AS w FROM documents
+), dg AS (
+  SELECT DISTINCT rid, doc_id, k, array_to_string(w[j:j + k - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT k FROM cg) AS ks, unnest(range(1, len(w) - k + 2)) AS r(j)
+), hits AS (
+  SELECT rid, doc_id, item_id, count(*) AS n FROM dg JOIN cg USING (k, g) GROUP BY ALL
+)
+SELECT doc_id, item_id, any_value(same_items) AS same_items, any_value(CAST(len(gs) AS BIGINT)) AS n_shingles, max(n) AS n_found, max(n / len(gs)) AS containment
+FROM hits JOIN classes USING (item_id) WHERE n >= 0.8 * len(gs) GROUP BY doc_id, item_id
+"""
