@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopscale.llm import chat, decontaminate, licenses, mixing, quality_rules, sharding, simhash
+from hopscale.llm import chat, decontaminate, licenses, mixing, quality_rules, sharding, simhash, warc
 from hopscale.llm.text import n_space_words
 
 
@@ -78,6 +78,14 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    tmp = warc.Scratch(spark)
+    warc.write_pages(pages, f"{tmp.path}/archives", min_revisit_bytes=0, tmp=tmp)
+    r = warc.read_pages(spark, f"{tmp.path}/archives")
+    return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "digest_ok")
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_license_scan": op2_license_scan,
@@ -86,6 +94,7 @@ QUERIES = {
     "op6_leaks": op6_leaks,
     "op7_interleave": op7_interleave,
     "op8_chat": op8_chat,
+    "op9_warc": op9_warc,
 }
 
 _WS = r"[\x20\x09-\x0D]+"
