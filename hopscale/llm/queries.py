@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopscale.llm import chat, decontaminate, licenses, mixing, quality_rules, sharding, simhash, warc
+from hopscale.llm import chat, decontaminate, licenses, mixing, quality_model, quality_rules, sharding, simhash, warc
 from hopscale.llm.text import n_space_words
 
 
@@ -86,6 +86,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "digest_ok")
 
 
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_model.score(docs, labels, host="source", path="lang").drop("text_key")
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_license_scan": op2_license_scan,
@@ -95,6 +101,7 @@ QUERIES = {
     "op7_interleave": op7_interleave,
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
+    "op10_site_quality": op10_site_quality,
 }
 
 _WS = r"[\x20\x09-\x0D]+"
