@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopscale.llm import chat, decontaminate, licenses, mixing, quality_model, quality_rules, sharding, simhash, warc
+from hopscale.llm import chat, decontaminate, licenses, mixing, quality_model, quality_rules, sharding, simhash, suffixes, warc
 from hopscale.llm.text import n_space_words
 
 
@@ -33,6 +33,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return suffixes.remove_repeats(docs).drop("runs")
+
+
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     r = quality_rules.clean_lines(docs)
@@ -95,6 +100,7 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_license_scan": op2_license_scan,
+    "op3_repeats": op3_repeats,
     "op4_line_rules": op4_line_rules,
     "op5_simhash": op5_simhash,
     "op6_leaks": op6_leaks,
