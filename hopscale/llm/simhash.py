@@ -11,6 +11,9 @@ checked first and only then all 64 bits.
 Equal fingerprints are one node, so copies never meet as pairs. A group emits a spanning forest, not
 its pairs; groups of more than a few thousand fingerprints are searched by flipping up to three of the
 free 32 bits, which bounds the work for each fingerprint. Components come from distributed rounds.
+
+One fingerprint finds a near copy only if chance keeps all but 3 bits. `prints` asks for several
+independent ones from the same shingles; documents link if any of their fingerprints do.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopscale.llm.components import components
+from hopscale.operators.components import components
 from hopscale.scratch import Scratch
 
 BITS, DISTANCE, SEGMENTS = 64, 3, 4
@@ -32,44 +35,53 @@ PAIRS_UP_TO = 4096
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Signed 64-bit SimHash of a text's word shingles (XXH64 with seed 42); 0 without words."""
+def fingerprint(text: bytes, shingle: int, prints: int = 1) -> list[int]:
+    """Signed 64-bit SimHashes of a text's word shingles; zeros without words. The first is by XXH64 with seed 42, the others by its multiples."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * prints
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     spans = list(zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True))
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((prints, BITS), np.int64)
     for at in range(0, len(spans), _BLOCK):
         h = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans[at : at + _BLOCK]], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(spans), bitorder="little").view(np.int64)[0])
+        for j in range(prints):
+            x = h
+            if j:
+                x = (h ^ (h >> np.uint64(31))) * np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                x ^= x >> np.uint64(32)
+            ones[j] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(spans), axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_key, fp) for every row; a null text is empty."""
+def fingerprints(docs: DataFrame, shingle: int, prints: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_key, fps) for every row; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_key", "fp"])
+            fps = [fingerprint(t, shingle, prints) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_key", "fps"])
 
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("text_key"), t.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("text_key"), t.alias("text")).mapInArrow(run, "doc_id long, text_key long, fps array<long>")
+
+
+KEYS = 20
 
 
-def _keys(fp: Column) -> Column:
-    """array<long> of the 20 keys; the number of the key is above its 32 bits."""
+def _keys(fp: Column, which: Column) -> Column:
+    """array<long> of the 20 keys of fingerprint number `which`; the number of the key is above its 32 bits."""
     seg = lambda j: F.shiftrightunsigned(fp, 16 * (j % SEGMENTS)).bitwiseAND(F.lit(0xFFFF))
     byte = lambda j, k: F.shiftright(seg(j), 8 * k).bitwiseAND(F.lit(0xFF))
     out = []
     for i in range(SEGMENTS):
         parts = [byte(i + 1, 0), byte(i + 1, 1), byte(i + 2, 0), byte(i + 2, 1)]
         for a, b in [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)]:
-            out.append(F.lit(len(out)).cast("long") * F.lit(1 << 32) + F.shiftleft(seg(i), 16) + F.shiftleft(parts[a], 8) + parts[b])
+            out.append((which * KEYS + len(out)).cast("long") * F.lit(1 << 32) + F.shiftleft(seg(i), 16) + F.shiftleft(parts[a], 8) + parts[b])
     return F.array(*out)
 
 
@@ -112,48 +124,49 @@ def _forest(fps: np.ndarray, start: int) -> np.ndarray:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key and fp -> edges (u, v) within each key's group."""
+    """Rows (key, fp, node) sorted by key -> edges (u, v) between nodes within each key's group."""
 
-    def edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    def edges(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
         length = np.diff(cut)
+        start_of = (key >> 32) % KEYS // 5
         two = cut[:-1][length == 2]
         u, v = [], []
         if len(two):
             x = fp[two] ^ fp[two + 1]
-            start = (key[two] >> 32) // 5
             for s in range(SEGMENTS):
-                ok = two[(start == s) & _within(x, s)]
-                u.append(fp[ok])
-                v.append(fp[ok + 1])
+                ok = two[(start_of[two] == s) & _within(x, s)]
+                u.append(node[ok])
+                v.append(node[ok + 1])
         for at, n in zip(cut[:-1][length > 2].tolist(), length[length > 2].tolist(), strict=True):
-            own = np.sort(fp[at : at + n])
-            label = _forest(own, int(key[at] >> 32) // 5)
-            far = np.flatnonzero(label != np.arange(n))
-            u.append(own[far])
-            v.append(own[label[far]])
-        join = lambda x: np.concatenate([*x, np.zeros(0, np.uint64)]).view(np.int64)
+            own, first, of = np.unique(fp[at : at + n], return_index=True, return_inverse=True)
+            root = node[at : at + n][first[_forest(own, int(start_of[at]))]][of]
+            far = root != node[at : at + n]
+            u.append(node[at : at + n][far])
+            v.append(root[far])
+        join = lambda x: np.concatenate([*x, np.zeros(0, np.int64)])
         return pa.RecordBatch.from_arrays([pa.array(join(u)), pa.array(join(v))], ["u", "v"])
 
-    rest: list[tuple[np.ndarray, np.ndarray]] = []
+    rest: list[tuple[np.ndarray, ...]] = []
+    joined = lambda: [np.concatenate(c) for c in zip(*rest, strict=True)]
     for b in batches:
-        key, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+        key, fp, node = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
         if not len(key):
             continue
         # the last group may go on in the next batch
         last = int(np.searchsorted(key, key[-1]))
-        if rest and rest[-1][0][-1] == key[-1] and last == 0:
-            rest.append((key, fp))
+        if rest and last == 0 and rest[-1][0][-1] == key[-1]:
+            rest.append((key, fp, node))
             continue
-        rest.append((key[:last], fp[:last]))
-        yield edges(np.concatenate([r[0] for r in rest]), np.concatenate([r[1] for r in rest])) if sum(len(r[0]) for r in rest) else edges(key[:0], fp[:0])
-        rest = [(key[last:], fp[last:])]
+        rest.append((key[:last], fp[:last], node[:last]))
+        yield edges(*joined())
+        rest = [(key[last:], fp[last:], node[last:])]
     if rest:
-        yield edges(np.concatenate([r[0] for r in rest]), np.concatenate([r[1] for r in rest]))
+        yield edges(*joined())
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, tmp: Scratch | None = None) -> DataFrame:
-    """(doc_id, text_key, fp, component_id) for every row of docs.
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, prints: int = 1, tmp: Scratch | None = None) -> DataFrame:
+    """(doc_id, text_key, fps, component_id) for every row of docs; fps: its fingerprints.
 
     component_id is the smallest id that links of at most 3 differing bits reach. A null or wordless
     text has fingerprint 0 and links like any other. Rows with a null id take part; only if a whole
@@ -161,23 +174,26 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     not read. An empty table gives an empty result.
     """
     tmp = tmp or Scratch(docs.sparkSession)
-    prints = tmp.put(fingerprints(docs, shingle, doc_id, text), "prints")
-    nodes = tmp.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    keyed = nodes.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    rows = tmp.put(fingerprints(docs, shingle, prints, doc_id, text), "prints")
+    # equal fingerprints are one node; its number is fixed by being written
+    nodes = rows.groupBy("fps").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id())
+    nodes = tmp.put(nodes, "nodes")
+    each = nodes.select("node", F.posexplode("fps").alias("which", "fp"))
+    keyed = each.select(F.explode(_keys(F.col("fp"), F.col("which"))).alias("key"), "fp", "node").repartition("key").sortWithinPartitions("key", "fp")
     edges = tmp.put(keyed.mapInArrow(_links, "u long, v long").distinct(), "edges")
     roots = components(tmp, edges)
-    of = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first")
-    of = tmp.put(of, "linked")
-    least = tmp.put(of.groupBy("root").agg(F.min("first").alias("low")), "least")
-    linked = of.join(least, "root").select(F.col("fp").alias("_fp"), "low")
-    ids = tmp.put(nodes.join(linked, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.when(F.col("_fp").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id")), "ids")
-    return prints.join(ids, F.col("fp") == F.col("_fp")).drop("_fp")
+    linked = tmp.put(nodes.select("node", "first").join(roots, "node"), "linked")
+    least = tmp.put(linked.groupBy("root").agg(F.min("first").alias("low")), "least")
+    linked = linked.join(least, "root").select(F.col("node").alias("_n"), "low")
+    ids = nodes.join(linked, F.col("node") == F.col("_n"), "left")
+    ids = tmp.put(ids.select(F.col("fps").alias("_fps"), F.when(F.col("_n").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id")), "ids")
+    return rows.join(ids, F.col("fps") == F.col("_fps")).drop("_fps")
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, prints: int = 1) -> DataFrame:
     """docs with one row of each component: that with the smallest id (of repeated rows, one)."""
     tmp = Scratch(docs.sparkSession)
-    found = tmp.put(near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, tmp=tmp), "found")
+    found = tmp.put(near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, prints=prints, tmp=tmp), "found")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"))
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("_k"), F.count("*").alias("_n"))
     twice = tmp.put(stay.where("_n > 1").select(F.col("component_id").alias("_i"), "_k"), "twice")
