@@ -27,7 +27,8 @@ class Network:
             raise ValueError("every edge is missing a 'cost'")
         if not isinstance(edges.schema["cost"].dataType, NumericType):
             raise ValueError(f"invalid cost: type {edges.schema['cost'].dataType.simpleString()}")
-        e = edges.select(F.least("src", "dst").cast("long").alias("src"), F.greatest("src", "dst").cast("long").alias("dst"), F.col("cost").cast("double").alias("cost"))
+        both = F.col("src").isNotNull() & F.col("dst").isNotNull()
+        e = edges.select(F.when(both, F.least("src", "dst")).cast("long").alias("src"), F.when(both, F.greatest("src", "dst")).cast("long").alias("dst"), F.col("cost").cast("double").alias("cost"))
         ends = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
         if nodes is None:
             n = ends.select("node_id", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))

@@ -13,10 +13,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.types import IntegralType
 
 from hopscale.network import Network
+from hopscale.operators.ranking import ranked
 from hopscale.operators.representatives import assign, first_independent_set
 from hopscale.operators.sssp import ShortestPaths, pick_strategy
 from hopscale.scratch import Scratch
@@ -79,7 +79,7 @@ class Hierarchy:
             foreign = [r.zone for r in z.join(nodes, "zone", "left_anti").limit(5).collect()]
             if foreign:
                 raise ValueError(f"zones not in network: {foreign}")
-        z = self._tmp.put(z.select("zone", (F.row_number().over(W.orderBy("zone")) - 1).alias("zone_idx")), "zones")
+        z = self._tmp.put(ranked(self._tmp, z, ["zone"], "zone_ranges").select("zone", F.col("rank").cast("int").alias("zone_idx")), "zones")
         n = z.count()
         if not n:
             raise ValueError("zones must be a non-empty set of nodes")
@@ -125,8 +125,9 @@ class Hierarchy:
             costs.append(self._costs_between(chosen, cutoffs[k], f"costs{k}"))
         self.radii, self.cutoffs = radii, cutoffs
         self._set_layers()
-        each = [r.select(F.lit(k).alias("layer"), "zone", (F.row_number().over(W.orderBy("zone")) - 1).alias("rep_idx")) for k, r in enumerate(reps)]
-        self.reps = self._tmp.put(reduce(DataFrame.unionByName, each), "reps")
+        every = ranked(self._tmp, reduce(DataFrame.unionByName, [r.select(F.lit(k).alias("layer"), "zone") for k, r in enumerate(reps)]), ["layer", "zone"], "rep_ranges")
+        first = every.groupBy("layer").agg(F.min("rank").alias("first"))
+        self.reps = self._tmp.put(every.join(first, "layer").select("layer", "zone", (F.col("rank") - F.col("first")).cast("int").alias("rep_idx")), "reps")
         # rep_k(z) = g_k(rep_{k-1}(z))
         chain = [self.zones.select("zone", F.col("zone").alias("rep"))]
         for k, g in enumerate(steps):

@@ -7,7 +7,9 @@ ones are not.
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -25,16 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _OWN:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="hopscale-")
+        own = tempfile.mkdtemp(prefix="hopscale-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = "file://" + own
     return _OWN[app]
 
 
+_MADE: dict[str, list[Scratch]] = {}
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote to the shared folder; results that still read them become invalid."""
+    for s in _MADE.pop(spark.sparkContext.applicationId, []):
+        s.drop()
+
+
 class Scratch:
     """Tables of one operator call, in a folder of their own."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/hopscale-{uuid.uuid4().hex}"
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and read it back."""
