@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     each = nodes.select("node", F.posexplode("fps").alias("which", "fp"))
     keyed = each.select(F.explode(_keys(F.col("fp"), F.col("which"))).alias("key"), "fp", "node").repartition("key").sortWithinPartitions("key", "fp")
     edges = tmp.put(keyed.mapInArrow(_links, "u long, v long").distinct(), "edges")
+    tmp.free()  # of the keys' shuffle
     roots = components(tmp, edges)
     linked = tmp.put(nodes.select("node", "first").join(roots, "node"), "linked")
     least = tmp.put(linked.groupBy("root").agg(F.min("first").alias("low")), "least")
@@ -201,6 +202,9 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shi
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     same = lambda t: F.col(doc_id).cast("long").eqNullSafe(t["_i"]) & (key == t["_k"])
     left = docs.join(gone, same(gone), "left_anti")
+    tmp.free()
+    if twice.isEmpty():
+        return left
     any_ = twice.select(F.col("_i").alias("_j"))
     once = left.join(any_, F.col(doc_id).cast("long").eqNullSafe(F.col("_j")), "left_anti")
     some = left.join(twice, same(twice), "left_semi").dropDuplicates([doc_id])
