@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float,
     return s.select("source", "source_size", F.when(F.col("level").isNull(), cap).otherwise(F.least(cap, F.col("level") * F.col("weight"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", size: str = "size", source: str = "source", weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, max_copies: int = 2, tilt: float = 0.5, seed: int = 20, targets: DataFrame | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", size: str | Column = "size", source: str = "source", weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, max_copies: int = 2, tilt: float = 0.5, seed: int = 20, targets: DataFrame | None = None) -> DataFrame:
     """All rows and columns of docs, with a struct column `_mix` of source_size, target, copies and taken.
 
     `targets` (source, target) replaces the weights. A null source is a source of its own, the last.
@@ -65,7 +65,8 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", size: str = "size",
     gives an empty one. Columns named like the result's are kept: results are inside `_mix`.
     """
     tmp = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
+    words = F.coalesce(F.col(size) if isinstance(size, str) else size, F.lit(0)).cast("long").alias("size")
+    rows = docs.select(F.col(source).alias("source"), words)
     hist = tmp.put(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     sizes = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     if targets is None:
@@ -90,7 +91,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", size: str = "size",
         q = F.try_divide(u / (1 - u), p / (1 - p))
         return df.withColumn("_v", F.when((p > _EPS) & (F.col("size") > 0), q / (1 + q))).withColumn("_range", F.when(F.col("_v").isNotNull(), F.least(F.floor(F.col("_v") * RANGES), F.lit(RANGES - 1))).cast("int"))
 
-    drawn = ranked(F.col("id"), _with(docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size")), plan)).where("_v is not null")
+    drawn = ranked(F.col("id"), _with(docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), words), plan)).where("_v is not null")
     sums = drawn.groupBy("source", "_range").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(W.partitionBy("source").orderBy("_range"))
     at = _with(sums.withColumn("before", upto - F.col("words")), plan).where(F.col("before") + F.col("words") > F.col("rest"))
@@ -99,7 +100,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", size: str = "size",
     plan = tmp.put(plan.select("source", "source_size", "target", "level", "rest", F.coalesce("c._range", F.lit(RANGES)).alias("cut"), F.coalesce("c.before", F.lit(0)).alias("before")), "cuts")
 
     keep = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    every = docs.select(keep, F.col(doc_id).alias("id"), F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
+    every = docs.select(keep, F.col(doc_id).alias("id"), F.col(source).alias("source"), words)
     every = ranked(F.col("id"), _with(every, plan)).withColumn("_whole", _whole(max_copies, tilt))
     plain = every.where("_v is null or _range <> cut").withColumn("_more", F.coalesce((F.col("_range") < F.col("cut")).cast("int"), F.lit(0)))
     order = W.partitionBy("source").orderBy("_v", "id", "size").rowsBetween(W.unboundedPreceding, -1)
