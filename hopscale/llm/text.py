@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,16 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once.
+
+    Spark may move a column's expression into a lambda that mentions the column, and a filter on the
+    result moves it there for certain; it would then be evaluated for every element. A lambda's own
+    variable is bound to a value and cannot be moved.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def whole(text: str | Column) -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -16,7 +28,7 @@ def whole(text: str | Column) -> Column:
 
 def space_words(text: str | Column) -> Column:
     """array<string> of words between ASCII white space."""
-    return F.filter(F.split(whole(text), SPACE, -1), lambda w: w != "")
+    return F.array_remove(F.split(whole(text), SPACE, -1), "")
 
 
 def n_space_words(text: str | Column) -> Column:
