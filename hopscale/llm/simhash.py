@@ -166,7 +166,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, prints: int = 1, tmp: Scratch | None = None) -> DataFrame:
-    """(doc_id, text_key, fps, component_id) for every row of docs; fps: its fingerprints.
+    """(doc_id, text_key, fps, component_id, component) for every row of docs; fps: its fingerprints, component: a number.
 
     component_id is the smallest id that links of at most 3 differing bits reach. A null or wordless
     text has fingerprint 0 and links like any other. Rows with a null id take part; only if a whole
@@ -185,9 +185,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     roots = components(tmp, edges)
     linked = tmp.put(nodes.select("node", "first").join(roots, "node"), "linked")
     least = tmp.put(linked.groupBy("root").agg(F.min("first").alias("low")), "least")
-    linked = linked.join(least, "root").select(F.col("node").alias("_n"), "low")
+    linked = linked.join(least, "root").select(F.col("node").alias("_n"), "root", "low")
     ids = nodes.join(linked, F.col("node") == F.col("_n"), "left")
-    ids = tmp.put(ids.select(F.col("fps").alias("_fps"), F.when(F.col("_n").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id")), "ids")
+    ids = tmp.put(ids.select(F.col("fps").alias("_fps"), F.when(F.col("_n").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", "node").alias("component")), "ids")
     return rows.join(ids, F.col("fps") == F.col("_fps")).drop("_fps")
 
 
@@ -195,17 +195,18 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shi
     """docs with one row of each component: that with the smallest id (of repeated rows, one)."""
     tmp = Scratch(docs.sparkSession)
     found = tmp.put(near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, prints=prints, tmp=tmp), "found")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("_k"), F.count("*").alias("_n"))
-    twice = tmp.put(stay.where("_n > 1").select(F.col("component_id").alias("_i"), "_k"), "twice")
-    gone = tmp.put(gone.distinct(), "gone")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    rows = found.select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"), "component", first.alias("first"))
+    # components whose smallest id has several rows
+    tie = tmp.put(rows.where("first").groupBy("component").agg(F.count("*").alias("n"), F.min("_k").alias("low")).where("n > 1").select(F.col("component").alias("_c"), "low"), "ties")
+    tied = tmp.put(rows.where("first").join(tie, F.col("component") == F.col("_c")).select("_i", "_k", (F.col("_k") == F.col("low")).alias("pick")).distinct(), "tied")
+    gone = tmp.put(rows.where("not first").select("_i", "_k").unionByName(tied.select("_i", "_k")).distinct(), "gone")
+    tmp.free()
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     same = lambda t: F.col(doc_id).cast("long").eqNullSafe(t["_i"]) & (key == t["_k"])
     left = docs.join(gone, same(gone), "left_anti")
-    tmp.free()
-    if twice.isEmpty():
+    if tied.isEmpty():
         return left
-    any_ = twice.select(F.col("_i").alias("_j"))
-    once = left.join(any_, F.col(doc_id).cast("long").eqNullSafe(F.col("_j")), "left_anti")
-    some = left.join(twice, same(twice), "left_semi").dropDuplicates([doc_id])
-    return once.unionByName(some)
+    pick = tied.where("pick").select("_i", "_k")
+    some = docs.withColumn("_key", key).join(pick, F.col(doc_id).cast("long").eqNullSafe(pick["_i"]) & (F.col("_key") == pick["_k"]), "left_semi")
+    return left.unionByName(some.dropDuplicates([doc_id, "_key"]).drop("_key"))
