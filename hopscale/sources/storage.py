@@ -102,28 +102,53 @@ def load_interaction(spark: SparkSession, path: str, *, interaction_fn=None, net
     return InteractionHierarchy.from_tables(_load(spark, path, meta, network), stored, interaction_fn, meta["self_interaction"])
 
 
-def export_npz(h: Hierarchy, path: str) -> str:
-    """A hierarchy of driver size as one compressed file of long arrays; the suffix is added if missing."""
+#: Fixed names of the arrays in the single-file exchange format, by table and column.
+NPZ_ARRAYS = {
+    "reps": {"layer": "repr_layer_idx", "zone": "repr_zone"},
+    "groups": {"layer": "groups_layer_idx", "zone": "groups_zone", "rep": "groups_rep"},
+    "costs": {"layer": "costs_layer_idx", "src": "costs_src", "dst": "costs_dst", "cost": "costs_val"},
+}
+NPZ_PARAMS = ("base_radius", "increase_factor", "overlap_factor", "min_representatives")
+
+
+def export_npz(h: Hierarchy, path: str, *, include_network: bool = False) -> str:
+    """A hierarchy of driver size as one compressed file of columns; the suffix is added if missing."""
     path = path if str(path).endswith(".npz") else f"{path}.npz"
-    arrays = {}
-    for name in ("layers", "zones", "reps", "groups", "costs"):
-        t = getattr(h, name).toArrow()
-        for c in t.column_names:
-            arrays[f"{name}_{c}"] = t.column(c).to_numpy() if t.column(c).null_count == 0 else t.column(c).cast("float64").fill_null(float("nan")).to_numpy()
-    params = {k: getattr(h, k) for k in ("base_radius", "increase_factor", "overlap_factor", "min_representatives")}
-    np.savez_compressed(path, **arrays, **{f"param_{k}": np.array(v) for k, v in params.items()})
+    column = lambda df, c: df.select(c).toArrow().column(0).to_numpy()
+    arrays = {"radii": np.array(h.radii, np.float64), "cutoffs": np.array([np.nan if c is None else c for c in h.cutoffs]), "zones": np.sort(column(h.zones, "zone"))}
+    for name, names in NPZ_ARRAYS.items():
+        t = getattr(h, name).orderBy(*list(names)[:3]).select(*names).toArrow()
+        arrays |= {to: t.column(c).to_numpy() for c, to in names.items()}
+    if include_network and h.network is not None:
+        e = h.network.edges.toArrow()
+        arrays |= {f"net_edge_{c}": e.column(c).to_numpy() for c in ("src", "dst", "cost")} | {"net_nodes": np.sort(column(h.network.nodes, "node_id"))}
+    meta = {k: getattr(h, k) for k in NPZ_PARAMS} | {"format_version": FORMAT_VERSION, "object_type": "Hierarchy", "sp_backend": h.backend, "backend": "npz"}
+    np.savez_compressed(path, **arrays, **{f"_meta_{k}": np.array(v) for k, v in meta.items()})
     return path
 
 
 def import_npz(spark: SparkSession, path: str, *, network: Network | None = None) -> Hierarchy:
-    """What export_npz wrote."""
+    """A hierarchy from such a file, also from one that a single-node library wrote, with its network if it holds one."""
     with np.load(path, allow_pickle=False) as f:
-        if "layers_layer" not in f:
+        if "radii" not in f or "_meta_object_type" not in f:
             raise StorageError(f"{path} holds no stored hierarchy")
-        tables = {}
-        for name, schema in (("layers", schemas.LAYERS), ("zones", schemas.ZONES), ("reps", schemas.REPS), ("groups", schemas.GROUPS), ("costs", schemas.COSTS)):
-            columns = [f[f"{name}_{c.split()[0]}"].tolist() for c in schema.split(", ")]
-            rows = [tuple(None if isinstance(x, float) and x != x else x for x in r) for r in zip(*columns, strict=True)]
-            tables[name] = spark.createDataFrame(rows, schema)
-        params = {k.removeprefix("param_"): f[k].item() for k in f.files if k.startswith("param_")} | {"sp_backend": "auto"}
+        if f["_meta_format_version"].item() > FORMAT_VERSION:
+            raise StorageError(f"{path} has format version {f['_meta_format_version'].item()}; this version reads up to {FORMAT_VERSION}")
+        table = lambda schema, *columns: spark.createDataFrame(list(zip(*(c.tolist() if isinstance(c, np.ndarray) else c for c in columns), strict=True)), schema)
+        cutoffs = [None if np.isnan(c) else float(c) for c in f["cutoffs"]]
+        zones = np.sort(f["zones"])
+        layer, zone = f["repr_layer_idx"], f["repr_zone"]
+        order = np.lexsort((zone, layer))
+        layer, zone = layer[order], zone[order]
+        tables = {
+            "layers": table(schemas.LAYERS, range(len(cutoffs)), f["radii"].astype(float), cutoffs),
+            "zones": table(schemas.ZONES, zones, np.arange(len(zones))),
+            "reps": table(schemas.REPS, layer, zone, np.arange(len(zone)) - np.searchsorted(layer, layer)),
+            "groups": table(schemas.GROUPS, *(f[a] for a in NPZ_ARRAYS["groups"].values())),
+            "costs": table(schemas.COSTS, *(f[a] for a in NPZ_ARRAYS["costs"].values())),
+        }
+        if network is None and "net_edge_src" in f:
+            nodes = table("node_id long", f["net_nodes"])
+            network = Network(table(schemas.EDGES, *(f[f"net_edge_{c}"] for c in ("src", "dst", "cost"))), nodes)
+        params = {k: f[f"_meta_{k}"].item() for k in NPZ_PARAMS} | {"sp_backend": f["_meta_sp_backend"].item()}
     return Hierarchy.from_tables(**tables, params=params, network=network)

@@ -28,7 +28,8 @@ def test_round_trip(spark, ih, tmp_path):
     plain = H.Hierarchy.load(spark, ih.hierarchy.save(str(tmp_path / "h")))
     assert plain.network is None and plain.verify_group_nesting()[0]
     assert np.allclose(H.InteractionHierarchy(plain, lambda c: (c + 2000) ** -1).matvec(a), ih.matvec(a))
-    again = import_npz(spark, export_npz(ih.hierarchy, str(tmp_path / "x")))
+    again = import_npz(spark, export_npz(ih.hierarchy, str(tmp_path / "x"), include_network=True))
+    assert again.network.n_edges == 40 and again.reps.exceptAll(ih.hierarchy.reps).count() == 0
     assert again.get_layer_info() == ih.hierarchy.get_layer_info() and again.cutoffs[-1] is None
     with pytest.raises(H.StorageError, match="not an InteractionHierarchy"):
         H.load_interaction(spark, str(tmp_path / "h"))
