@@ -9,6 +9,7 @@ from model import Model
 from pyspark.sql import functions as F
 
 import hopscale as H
+from hopscale.operators.ranking import ranked
 from hopscale.operators.representatives import first_independent_set
 from hopscale.operators.sssp import ShortestPaths
 from hopscale.scratch import Scratch
@@ -123,6 +124,13 @@ def test_searches_agree(spark):
     assert full == compare == sorted(map(tuple, ShortestPaths(n, "broadcast").search(src).collect()))
 
 
+def test_ranks(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 5003).alias("zone")).repartition(5)
+    tmp = Scratch(spark)
+    one, many = (sorted(map(tuple, ranked(tmp, df, ["zone"], f"r{k}", small).collect())) for k, small in enumerate((1000, 10)))
+    assert one == many and [r for _, r in one] == list(range(500))
+
+
 def test_independent_set_rounds(spark):
     r = random.Random(3)
     pairs = {tuple(sorted(r.sample(range(60), 2))) for _ in range(90)}
