@@ -19,6 +19,7 @@ independent ones from the same shingles; documents link if any of their fingerpr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +32,7 @@ from hopscale.operators.components import components
 from hopscale.scratch import Scratch
 
 BITS, DISTANCE, SEGMENTS = 64, 3, 4
-PAIRS_UP_TO = 4096
+PAIRS_UP_TO, _ROWS = 4096, 256
 _BLOCK = 1 << 15
 
 
@@ -94,30 +95,30 @@ def _within(x: np.ndarray, start: int) -> np.ndarray:
     return ok
 
 
+@cache
+def _flips(start: int) -> np.ndarray:
+    """All differences of one to three bits that keep the budgets of the chains from that start."""
+    own = [x for j in range(SEGMENTS) if j != start for x in range(16 * j, 16 * j + 16)]
+    m = np.array([sum(1 << x for x in bits) for size in range(1, DISTANCE + 1) for bits in combinations(own, size)], np.uint64)
+    return m[_within(m, start)]
+
+
 def _forest(fps: np.ndarray, start: int) -> np.ndarray:
-    """For distinct sorted fingerprints of one key: each one's smallest linked index, by any number of links."""
+    """For distinct sorted fingerprints of one key: each one's smallest linked index, by any number of links. Memory grows with their number only."""
     n = len(fps)
     label = np.arange(n)
-    if n <= PAIRS_UP_TO:
-        links = [np.nonzero(_within(fps[i : i + 512, None] ^ fps[None, :], start)) for i in range(0, n, 512)]
-        a = np.concatenate([r[0] + i for r, i in zip(links, range(0, n, 512), strict=True)])
-        b = np.concatenate([r[1] for r in links])
-        flips = [(a, b)]
-    else:
-        own = [x for j in range(SEGMENTS) if j != start for x in range(16 * j, 16 * j + 16)]
-        flips = []
-        for size in range(1, DISTANCE + 1):
-            for bits in combinations(own, size):
-                m = np.uint64(sum(1 << x for x in bits))
-                if _within(np.array([m], np.uint64), start)[0]:
-                    at = np.searchsorted(fps, fps ^ m)
-                    hit = np.nonzero(fps[np.minimum(at, n - 1)] == fps ^ m)[0]
-                    if len(hit):
-                        flips.append((hit, at[hit]))
     while True:
         was = label.copy()
-        for a, b in flips:
-            np.minimum.at(label, a, label[b])
+        if n <= PAIRS_UP_TO:
+            for i in range(0, n, _ROWS):
+                near = _within(fps[i : i + _ROWS, None] ^ fps[None, :], start)
+                label[i : i + _ROWS] = np.where(near, label, n).min(1)
+        else:
+            for m in _flips(start):
+                other = fps ^ m
+                at = np.minimum(np.searchsorted(fps, other), n - 1)
+                hit = fps[at] == other
+                label[hit] = np.minimum(label[hit], label[at[hit]])
         label = label[label]
         if (label == was).all():
             return label
