@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -33,6 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, for the small side of a join with wide rows: marked for broadcast only if it is counted to have at most `rows` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 _MADE: dict[str, list[Scratch]] = {}
 
 
