@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopscale.llm.text import whole
-from hopscale.scratch import Scratch
+from hopscale.llm.text import let, whole
+from hopscale.scratch import Scratch, small
 
 SHINGLE = 5
 #: Separators: all ASCII that is no letter or digit.
@@ -28,18 +28,18 @@ def words_of(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(whole(text)), OTHER, -1), lambda w: w != "")
 
 
-def _hashes(k: int) -> Column:
-    """Hashes of the k-word shingles, from `_h`, the words' hashes."""
-    if k == 1:
-        return F.transform("_h", lambda h: F.xxhash64(h))
-    starts = F.when(F.size("_h") >= k, F.sequence(F.lit(0), F.size("_h") - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get("_h", i + j) for j in range(k)]))
+def _starts(words: Column, k: Column) -> Column:
+    return F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
 
 
-def _strings(k: Column) -> Column:
-    """Distinct k-word shingles of `_words`."""
-    starts = F.when(F.size("_words") >= k, F.sequence(F.lit(0), F.size("_words") - k)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("_words", i + 1, k), " ")))
+def _hashes(h: Column, k: int) -> Column:
+    """Hashes of the k-word shingles, from the words' hashes."""
+    return F.transform(_starts(h, F.lit(k)), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+
+
+def _strings(words: Column, k: Column) -> Column:
+    """Distinct k-word shingles."""
+    return F.array_distinct(F.transform(_starts(words, k), lambda i: F.array_join(F.slice(words, i + 1, k), " ")))
 
 
 def item_classes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -49,7 +49,7 @@ def item_classes(items: DataFrame, item_id: str = "item_id", text: str = "text")
     without words match nothing and have no class.
     """
     i = items.select(F.col(item_id).alias("item_id"), words_of(text).alias("_words")).where(F.size("_words") > 0)
-    i = i.withColumn("k", F.least(F.size("_words"), F.lit(SHINGLE))).withColumn("shingles", _strings(F.col("k")))
+    i = i.withColumn("k", F.least(F.size("_words"), F.lit(SHINGLE))).withColumn("shingles", let(F.col("_words"), lambda w: _strings(w, F.col("k"))))
     i = i.groupBy("k", F.sort_array("shingles").alias("shingles")).agg(F.min("item_id").alias("item_id"), F.sort_array(F.collect_list("item_id")).alias("same_items"))
     h = F.transform("shingles", lambda s: F.transform(F.split(s, " "), lambda w: F.xxhash64(w)))
     per_k = F.lit(None)
@@ -72,15 +72,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     index = tmp.put(classes.select("item_id", "k", F.explode(F.slice(F.sort_array("_h"), F.lit(1), length)).alias("h")), "index")
     ks = sorted(r.k for r in index.select("k").distinct().collect())  # at most five
 
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole(text)).alias("text_key"), F.transform(words_of(text), lambda w: F.xxhash64(w)).alias("_h"))
-    grams = F.concat(*[_hashes(k) for k in ks]) if ks else F.array().cast("array<bigint>")
-    pairs = own.select("doc_id", "text_key", F.explode(grams).alias("h")).join(index, "h").select("doc_id", "text_key", "item_id").distinct()
+    hashes = F.transform(words_of(text), lambda w: F.xxhash64(w))
+    grams = let(hashes, lambda h: F.concat(*[_hashes(h, k) for k in ks])) if ks else F.array().cast("array<bigint>")
+    pairs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole(text)).alias("text_key"), F.explode(grams).alias("h")).join(index, "h").select("doc_id", "text_key", "item_id").distinct()
     pairs = tmp.put(pairs, "pairs")
 
     keyed = docs.select(F.col(doc_id).alias("_i"), F.xxhash64(whole(text)).alias("_k"), F.col(text).alias("_t"))
-    cand = pairs.join(classes.select("item_id", "same_items", "k", "shingles"), "item_id")
-    each = keyed.join(cand, F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_k") == F.col("text_key")))
-    each = each.withColumn("_words", words_of("_t")).withColumn("n_found", F.size(F.array_intersect("shingles", _strings(F.col("k")))).cast("long"))
+    each = keyed.join(small(pairs), F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_k") == F.col("text_key")))
+    each = each.join(classes.select("item_id", "same_items", "k", "shingles"), "item_id")
+    found = let(words_of("_t"), lambda w: F.size(F.array_intersect("shingles", _strings(w, F.col("k")))))
+    each = each.withColumn("n_found", found.cast("long"))
     each = each.withColumn("n_shingles", F.size("shingles").cast("long")).where(F.col("n_found") >= F.lit(threshold - 1e-9) * F.col("n_shingles"))
     each = each.groupBy("doc_id", "text_key", "item_id").agg(*[F.first(c).alias(c) for c in ("same_items", "n_shingles", "n_found")])
     return each.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
@@ -91,4 +92,4 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     tmp = Scratch(docs.sparkSession)
     found = find_leaks(docs, items, doc_id=doc_id, text=text, threshold=threshold, tmp=tmp)
     found = tmp.put(found.select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k")).distinct(), "leaks")
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.xxhash64(whole(text)) == F.col("_k")), "left_anti")
+    return docs.join(small(found), F.col(doc_id).eqNullSafe(F.col("_i")) & (F.xxhash64(whole(text)) == F.col("_k")), "left_anti")

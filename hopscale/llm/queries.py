@@ -55,7 +55,8 @@ def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_leaks(docs, items, threshold=0.8)
     # repeated ids with other texts: the fullest copy counts
-    return found.groupBy("doc_id", "item_id").agg(F.first("same_items").alias("same_items"), F.first("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"), F.max("containment").alias("containment"))
+    same = F.array_join(F.first("same_items").cast("array<string>"), ",")
+    return found.groupBy("doc_id", "item_id").agg(same.alias("same_items"), F.first("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"), F.max("containment").alias("containment"))
 
 
 def op7_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,6 +203,6 @@ WITH i AS (
 ), hits AS (
   SELECT rid, doc_id, item_id, count(*) AS n FROM dg JOIN cg USING (k, g) GROUP BY ALL
 )
-SELECT doc_id, item_id, any_value(same_items) AS same_items, any_value(CAST(len(gs) AS BIGINT)) AS n_shingles, max(n) AS n_found, max(n / len(gs)) AS containment
+SELECT doc_id, item_id, any_value(array_to_string(same_items, ',')) AS same_items, any_value(CAST(len(gs) AS BIGINT)) AS n_shingles, max(n) AS n_found, max(n / len(gs)) AS containment
 FROM hits JOIN classes USING (item_id) WHERE n >= 0.8 * len(gs) GROUP BY doc_id, item_id
 """
