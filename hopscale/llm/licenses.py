@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopscale.llm.text import whole
+from hopscale.llm.text import let, whole
 
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE, SHARE, SLACK = 12, 0.6, 8
@@ -129,34 +129,41 @@ def scan(docs: DataFrame, *, text: str = "text", templates: tuple[Template, ...]
     keys = [tuple(" ".join(_words(k)) for k in t.keys) or (" ".join(_words(t.text)),) for t in every]
     const = lambda xs: F.array(*map(F.lit, xs))
 
-    d = docs.withColumn("_w", F.filter(F.split(lower_ascii(whole(text)), OTHER, -1), lambda w: w != ""))
+    words = F.array_remove(F.split(lower_ascii(whole(text)), OTHER, -1), "")
     rare = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(*postings), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    d = d.withColumn("_rare", rare)
-    hits = F.flatten(F.transform("_rare", lambda x: F.transform(F.element_at(lit_map, x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at")))))
-    d = d.withColumn("_hits", F.when(F.size("_rare") > 0, F.array_sort(hits)))
-    # element i and element i + need - 1 are equal: enough postings agree on that place
-    idx = F.sequence(F.lit(0), F.size("_hits") - 1)
-    agree = F.filter(F.transform(idx, lambda i: F.when(F.get("_hits", i) == F.get("_hits", i + F.get(need_of, F.get("_hits", i)["t"]) - 1), F.get("_hits", i))), lambda x: x.isNotNull())
-    d = d.withColumn("_cand", F.when(F.size("_hits") > 0, F.array_distinct(agree)))
-
-    def verified(c: Column) -> Column:
+    hits = lambda found: F.array_sort(F.flatten(F.transform(found, lambda x: F.transform(F.element_at(lit_map, x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at"))))))
+
+    def agreed(h: Column) -> Column:
+        """Places of which element i and element i + need - 1 are equal: enough postings agree on them."""
+        same = lambda i: F.get(h, i) == F.get(h, i + F.get(need_of, F.get(h, i)["t"]) - 1)
+        return F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.when(same(i), F.get(h, i))), lambda x: x.isNotNull()))
+
+    def verified(w: Column, c: Column) -> Column:
         n, slack = F.get(const(sizes), c["t"]), F.get(const([0 if t.base else SLACK for t in every]), c["t"])
         start = F.greatest(c["at"] - slack, F.lit(0))
-        span = F.concat(F.lit(" "), F.array_join(F.slice("_w", start + 1, c["at"] + n + slack - start), " "), F.lit(" "))
-        ok = F.lit(False)
-        for t in range(len(every)):
-            here = (c["t"] == t) & (c["at"] + n + slack > start)
-            for k in keys[t]:
-                here = here & F.contains(span, F.lit(f" {k} "))
-            ok = ok | here
-        return ok & ((slack > 0) | (c["at"] >= 0))
-
-    good = F.filter("_cand", lambda c: verified(c))
-    d = d.withColumn("_good", F.when(F.size("_cand") > 0, good))
-    share = lambda c: F.least(F.lit(1.0), F.size(F.filter("_hits", lambda h: h == c)) / F.get(total_of, c["t"]))
-    place = F.transform("_good", lambda c: F.struct(F.get(const([t.label for t in every]), c["t"]).alias("label"), c["at"].alias("word"), share(c).alias("score"), F.get(const([t.base for t in every]), c["t"]).alias("base")))
+        span = F.concat(F.lit(" "), F.array_join(F.slice(w, start + 1, F.greatest(c["at"] + n + slack - start, F.lit(0))), " "), F.lit(" "))
+
+        def holds(here: Column) -> Column:
+            ok = F.lit(False)
+            for t in range(len(every)):
+                one = c["t"] == t
+                for k in keys[t]:
+                    one = one & F.contains(here, F.lit(f" {k} "))
+                ok = ok | one
+            return ok
+
+        return ((slack > 0) | (c["at"] >= 0)) & let(span, holds)
+
+    def places(w: Column, h: Column) -> Column:
+        share = lambda c: F.least(F.lit(1.0), F.size(F.filter(h, lambda x: x == c)) / F.get(total_of, c["t"]))
+        good = F.filter(agreed(h), lambda c: verified(w, c))
+        return F.transform(good, lambda c: F.struct(F.get(const([t.label for t in every]), c["t"]).alias("label"), c["at"].alias("word"), share(c).alias("score"), F.get(const([t.base for t in every]), c["t"]).alias("base")))
+
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), words.alias("_w"))
+    d = d.withColumn("_rare", rare)
     none = F.array().cast("array<struct<label:string,word:int,score:double,base:boolean>>")
-    d = d.withColumn("_places", F.when(F.size("_good") > 0, place).otherwise(none))
+    found = let(F.col("_w"), lambda w: let(hits(F.col("_rare")), lambda h: places(w, h)))
+    d = d.withColumn("_places", F.when(F.size("_rare") > 0, found).otherwise(none))
     labels = lambda xs: F.array_sort(F.array_distinct(F.transform(xs, lambda p: p["label"])))
     only = F.filter("_places", lambda p: p["base"])
     out = F.struct(
@@ -166,4 +173,4 @@ def scan(docs: DataFrame, *, text: str = "text", templates: tuple[Template, ...]
         labels(F.col("_places")).alias("labels"),
         F.coalesce(F.array_max(F.transform("_places", lambda p: p["score"])), F.lit(0.0)).alias("score"),
     )
-    return d.select(*[d[c] for c in docs.columns], out.alias("_license"))
+    return d.select("_row.*", out.alias("_license"))
