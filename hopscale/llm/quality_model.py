@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopscale.scratch import Scratch
+from hopscale.scratch import Scratch, small
 
 MAX_LABELLED = 20_000
 UNIT = 1_000_000
@@ -149,6 +149,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", tex
     """docs without the rows that the classifier rejects."""
     tmp = Scratch(docs.sparkSession)
     bad = score(docs, labels, doc_id=doc_id, text=text, tmp=tmp, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"), F.lit(1).alias("_one")).distinct()
-    bad = tmp.put(bad, "rejected")
+    bad = small(tmp.put(bad, "rejected"))
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     return docs.join(bad, F.col(doc_id).cast("long").eqNullSafe(F.col("_i")) & (key == F.col("_k")), "left_anti")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopscale.operators.components import components
-from hopscale.scratch import Scratch
+from hopscale.scratch import Scratch, small
 
 BITS, DISTANCE, SEGMENTS = 64, 3, 4
 PAIRS_UP_TO, _ROWS = 4096, 256
@@ -205,6 +205,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shi
     tmp.free()
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     same = lambda t: F.col(doc_id).cast("long").eqNullSafe(t["_i"]) & (key == t["_k"])
+    gone = small(gone)
     left = docs.join(gone, same(gone), "left_anti")
     if tied.isEmpty():
         return left
