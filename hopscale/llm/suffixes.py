@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hopscale.scratch import Scratch
+from hopscale.scratch import Scratch, small
 
 LENGTH, ANCHOR = 50, 16
 CHUNK = 1 << 18
@@ -275,6 +275,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     parts = twice.select(F.col("doc").alias("_d"), F.col("sha").alias("_s"), F.row_number().over(W.partitionBy("doc").orderBy("sha")).alias("_part"))
     # -1: a copy of a text with a smaller id; from 1 on: one of several texts of one id; all others are 0
     marks = tmp.put(copies.unionByName(parts).groupBy("_d", "_s").agg(F.min("_part").alias("_part")), "marks")
+    marks = small(marks)
     keyed = lambda df, sha: df.join(marks, (F.col("doc") == F.col("_d")) & (sha == F.col("_s")), "left").withColumn("part", F.coalesce("_part", F.lit(0))).drop("_d", "_s", "_part")
     texts = keyed(source.where("doc is not null"), F.sha2(F.encode("text", "UTF-8"), 256)).where("part >= 0").select("doc", "part", "text")
 

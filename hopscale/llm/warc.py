@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopscale.scratch import Scratch
+from hopscale.scratch import Scratch, small
 
 PIECE = 1 << 16
 ARCHIVE = 8 << 20
@@ -75,7 +75,7 @@ def write_pages(pages: DataFrame, path: str, *, page_id: str = "page_id", url: s
     first = keys.where(F.col("n") >= min_revisit_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
     first = tmp.put(first.select(F.col("sha").alias("_sha"), "first"), "first")
     revisits = keys.join(first, F.col("sha") == F.col("_sha")).where("page_id > first").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("first").alias("refers_to")).distinct()
-    revisits = tmp.put(revisits, "revisits")
+    revisits = small(tmp.put(revisits, "revisits"))
     rows = own.join(revisits, (F.col("page_id") == F.col("_id")) & (F.sha1(F.encode("html", "UTF-8")) == F.col("_sha")), "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
