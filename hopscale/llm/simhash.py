@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hopscale.llm import jaccard
 from hopscale.operators.components import components
 from hopscale.scratch import Scratch, small
 
@@ -192,10 +193,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return rows.join(ids, F.col("fps") == F.col("_fps")).drop("_fps")
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, prints: int = 1) -> DataFrame:
-    """docs with one row of each component: that with the smallest id (of repeated rows, one)."""
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, prints: int = 1, threshold: float | None = None) -> DataFrame:
+    """docs with one row of each component: that with the smallest id (of repeated rows, one).
+
+    With a threshold, links are pairs of at least that Jaccard similarity, found and verified by
+    hopscale.llm.jaccard, instead of fingerprints that are close by chance; prints is not used then.
+    """
     tmp = Scratch(docs.sparkSession)
-    found = tmp.put(near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, prints=prints, tmp=tmp), "found")
+    if threshold is None:
+        found = near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, prints=prints, tmp=tmp)
+    else:
+        found = jaccard.near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, threshold=threshold, tmp=tmp)
+    found = tmp.put(found, "found")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     rows = found.select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"), "component", first.alias("first"))
     # components whose smallest id has several rows
