@@ -2,12 +2,14 @@
 
 The index holds, for each template of a licence, its words of highest inverse document frequency over
 the template library, with their positions. A file's words are looked up in it; each posting gives the
-place where the template would begin. Places that enough of a template's rare words agree on are its
-candidate alignments, and an alignment counts only if all key phrases of the template stand in it.
-The base phrases are templates too, whose key phrase is the whole phrase in its exact place.
+place where the template would begin. Places that enough of a template's rare words agree on, give or
+take SLACK words that a file inserts or leaves out, are its candidate alignments, and an alignment counts
+only if all key phrases of the template stand in it. The base phrases are templates too, whose key phrase
+is the whole phrase in its exact place.
 
 Everything happens inside the row: postings are intersected by sorting (template, place) and comparing
-each with the one `need - 1` further on. Nothing is shuffled.
+each with the one `need - 1` further on. Only where those are near are the postings between counted, each
+posting and each word of the file once. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ BASE = (
 LIBRARY = (
     Template(
         "mit",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         ("permission is hereby granted free of charge", "without restriction"),
     ),
     Template(
@@ -117,7 +119,7 @@ def scan(docs: DataFrame, *, text: str = "text", templates: tuple[Template, ...]
 
     n_words; places: array of (label, word, score, base), the verified alignments with the word where
     each begins, whole texts, all places; base_labels and labels: sorted distinct arrays; score: the
-    largest share of a template's rare words in a verified place, 0 without any. A null text is empty:
+    largest share of a template's rare words that agree on a verified place, 0 without any. A null text is empty:
     no words, no places. Templates must be in ASCII. Repeated rows are judged alike.
     """
     every = (*base, *templates)
@@ -131,15 +133,43 @@ def scan(docs: DataFrame, *, text: str = "text", templates: tuple[Template, ...]
 
     words = F.array_remove(F.split(lower_ascii(whole(text)), OTHER, -1), "")
     rare = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(*postings), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    hits = lambda found: F.array_sort(F.flatten(F.transform(found, lambda x: F.transform(F.element_at(lit_map, x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at"))))))
+    hits = lambda found: F.array_sort(F.flatten(F.transform(found, lambda x: F.transform(F.element_at(lit_map, x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at"), q["p"].alias("p"))))))
+
+    slack_of = const([0 if t.base else SLACK for t in every])
+
+    def window(h: Column, i: Column) -> Column:
+        """Hits from i on that agree with hit i within the template's slack; h is sorted, so they follow one another."""
+        # of one place a template has as many hits as postings at most
+        most = (F.get(slack_of, F.get(h, i)["t"]) + 1) * F.get(total_of, F.get(h, i)["t"]).cast("int")
+        return let(F.get(h, i), lambda c: F.filter(F.slice(h, i + 1, most), lambda x: (x["t"] == c["t"]) & (x["at"] <= c["at"] + F.get(slack_of, c["t"]))))
+
+    def place(own: Column) -> Column:
+        """The place that most hits name (the first of those), and how many postings agree: each posting and each word of the file counts once."""
+        times = lambda x: F.size(F.filter(own, lambda y: y["at"] == x["at"]))
+        at = -F.array_max(F.transform(own, lambda x: F.struct(times(x).alias("n"), (-x["at"]).alias("at"))))["at"]
+        n = F.least(F.size(F.array_distinct(F.transform(own, lambda x: x["p"]))), F.size(F.array_distinct(F.transform(own, lambda x: x["at"] + x["p"]))))
+        return F.struct(F.get(own, F.lit(0))["t"].alias("t"), at.alias("at"), n.alias("n"))
 
     def agreed(h: Column) -> Column:
-        """Places of which element i and element i + need - 1 are equal: enough postings agree on them."""
-        same = lambda i: F.get(h, i) == F.get(h, i + F.get(need_of, F.get(h, i)["t"]) - 1)
-        return F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.when(same(i), F.get(h, i))), lambda x: x.isNotNull()))
+        """Candidate places: enough postings agree on them within the slack. Of one template, places within the slack of the one before are the same."""
+
+        def far(i: Column) -> Column:
+            a, z = F.get(h, i), F.get(h, i + F.get(need_of, F.get(h, i)["t"]) - 1)
+            return (a["t"] == z["t"]) & (z["at"] - a["at"] <= F.get(slack_of, a["t"]))
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), far)
+        found = F.filter(F.transform(starts, lambda i: let(window(h, i), place)), lambda c: c["n"] >= F.get(need_of, c["t"]))
+        return F.array_sort(F.array_distinct(found))
+
+    def apart(good: Column) -> Column:
+        """Of a template's places within the slack of one another, that with most agreement, of those the first."""
+        near = lambda x, c: (x["t"] == c["t"]) & (F.abs(x["at"] - c["at"]) <= F.get(slack_of, c["t"]))
+        best = F.array_sort(F.transform(good, lambda c: F.struct((-c["n"]).alias("m"), c["t"].alias("t"), c["at"].alias("at"), c["n"].alias("n"))))
+        kept = F.aggregate(best, F.filter(best, lambda c: F.lit(False)), lambda seen, c: F.when(F.exists(seen, lambda x: near(x, c)), seen).otherwise(F.array_append(seen, c)))
+        return F.array_sort(F.transform(kept, lambda c: F.struct(c["t"].alias("t"), c["at"].alias("at"), c["n"].alias("n"))))
 
     def verified(w: Column, c: Column) -> Column:
-        n, slack = F.get(const(sizes), c["t"]), F.get(const([0 if t.base else SLACK for t in every]), c["t"])
+        n, slack = F.get(const(sizes), c["t"]), F.get(slack_of, c["t"])
         start = F.greatest(c["at"] - slack, F.lit(0))
         span = F.concat(F.lit(" "), F.array_join(F.slice(w, start + 1, F.greatest(c["at"] + n + slack - start, F.lit(0))), " "), F.lit(" "))
 
@@ -155,8 +185,8 @@ def scan(docs: DataFrame, *, text: str = "text", templates: tuple[Template, ...]
         return ((slack > 0) | (c["at"] >= 0)) & let(span, holds)
 
     def places(w: Column, h: Column) -> Column:
-        share = lambda c: F.least(F.lit(1.0), F.size(F.filter(h, lambda x: x == c)) / F.get(total_of, c["t"]))
-        good = F.filter(agreed(h), lambda c: verified(w, c))
+        share = lambda c: F.least(F.lit(1.0), c["n"] / F.get(total_of, c["t"]))
+        good = let(F.filter(agreed(h), lambda c: verified(w, c)), apart)
         return F.transform(good, lambda c: F.struct(F.get(const([t.label for t in every]), c["t"]).alias("label"), c["at"].alias("word"), share(c).alias("score"), F.get(const([t.base for t in every]), c["t"]).alias("base")))
 
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), words.alias("_w"))
