@@ -85,6 +85,7 @@ ORACLES = {
     "sssp_single": _sql("SELECT src, dst, cost FROM sp WHERE src = 0", PATHS),
     "sssp_cutoff": _sql("SELECT src, dst, cost FROM sp WHERE cost <= 4500", PATHS),
     "sssp_rounds": _sql("SELECT src, dst, cost FROM sp WHERE cost <= 6000 AND src % 10 = 0", PATHS),
+    "sssp_rounds_all": _sql("SELECT src, dst, cost FROM sp WHERE cost <= 6000", PATHS),
     "dense_cost": _sql("SELECT every.src, every.dst, coalesce(cost, CAST('inf' AS DOUBLE)) AS cost FROM every LEFT JOIN sp ON sp.src = every.src AND sp.dst = every.dst AND cost <= 9000", PATHS, EVERY),
     "network_extent": _sql("SELECT extent FROM ext", *ALL),
     "layer_radii": _sql("SELECT layer, CAST(radius AS DOUBLE) AS radius, CAST(cutoff AS DOUBLE) AS cutoff FROM layers", *ALL),

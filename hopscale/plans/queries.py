@@ -118,6 +118,12 @@ def sssp_rounds(spark, sf_dir):
     return ShortestPaths(network(spark, sf_dir), "dataframe").search(src, 6000.0)
 
 
+def sssp_rounds_all(spark, sf_dir):
+    """sssp_rounds from every node."""
+    src = network(spark, sf_dir).nodes.select(F.col("node_id").alias("src"))
+    return ShortestPaths(network(spark, sf_dir), "dataframe").search(src, 6000.0)
+
+
 def dense_cost(spark, sf_dir):
     return compute_dense_cost_matrix(network(spark, sf_dir), cutoff=9000.0)
 
@@ -254,7 +260,7 @@ def transport_network(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        *(net_edges, net_adjacency, net_degree, grid_network, range_join_edges, sssp_single, sssp_cutoff, sssp_rounds, dense_cost),
+        *(net_edges, net_adjacency, net_degree, grid_network, range_join_edges, sssp_single, sssp_cutoff, sssp_rounds, sssp_rounds_all, dense_cost),
         *(network_extent, layer_radii, layer_costs, layer_reps, layer_groups, layer_info, densities, nesting_check, gap_fill_pairs),
         *(get_cost_pairs, zone_subset_costs, decay_power, decay_exponential, net_operator, interaction_info, accessibility),
         *(accessibility_multi, interaction_row, top_zones, accessibility_stats, dense_accessibility, approx_error, parquet_roundtrip),
