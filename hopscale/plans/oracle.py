@@ -97,7 +97,9 @@ ORACLES = {
     "nesting_check": _sql("SELECT f.layer, f.rep, c.layer AS coarse_layer, count(DISTINCT c.rep) AS n FROM groups AS f JOIN groups AS c ON c.zone = f.zone AND c.layer > f.layer GROUP BY ALL HAVING n > 1", *ALL),
     "gap_fill_pairs": _sql("SELECT layer, src, dst, cost FROM gaps", *ALL),
     "get_cost_pairs": _sql("SELECT x.zone AS src, y.zone AS dst, coalesce(cost, CAST('inf' AS DOUBLE)) AS cost, layer FROM z AS x CROSS JOIN z AS y LEFT JOIN found ON found.src = x.zone AND found.dst = y.zone WHERE x.zone % 3 = 0", *ALL, FOUND),
+    "get_cost_all_pairs": _sql("SELECT x.zone AS src, y.zone AS dst, coalesce(cost, CAST('inf' AS DOUBLE)) AS cost, layer FROM z AS x CROSS JOIN z AS y LEFT JOIN found ON found.src = x.zone AND found.dst = y.zone", *ALL, FOUND),
     "zone_subset_costs": _sql("SELECT layer, src, dst, cost FROM costs WHERE layer = 0", PATHS, _hierarchy("SELECT k AS zone FROM s WHERE k % 2 = 0")),
+    "zone_subset_layers": _sql("SELECT layer, src, dst, cost FROM costs", PATHS, _hierarchy("SELECT k AS zone FROM s WHERE k % 2 = 0")),
     "decay_power": _sql("SELECT src, dst, round(2.0 * pow(1000 + cost, -1.5), 12) AS value FROM costs WHERE layer = 0", *ALL),
     "decay_exponential": _sql("SELECT src, dst, round(exp(-0.0005 * cost), 12) AS value FROM costs WHERE layer = 0", *ALL),
     "net_operator": _sql("SELECT layer, src, dst, round(value, 12) AS value, round(correction, 12) AS correction, round(value - coalesce(correction, 0), 12) AS net FROM vals LEFT JOIN corr USING (layer, src, dst)", *ALL, VALUES),

@@ -176,10 +176,26 @@ def get_cost_pairs(spark, sf_dir):
     return hierarchy(spark, sf_dir).get_costs(pairs)
 
 
-def zone_subset_costs(spark, sf_dir):
+def get_cost_all_pairs(spark, sf_dir):
+    """get_cost_pairs for all ordered pairs."""
+    z = hierarchy(spark, sf_dir).zones.select("zone")
+    pairs = z.select(F.col("zone").alias("src")).crossJoin(z.select(F.col("zone").alias("dst")))
+    return hierarchy(spark, sf_dir).get_costs(pairs)
+
+
+def _subset(spark: SparkSession, sf_dir: str) -> Hierarchy:
     n = network(spark, sf_dir)
     even = n.nodes.where("node_id % 2 = 0").select(F.col("node_id").alias("zone"))
-    return _once(spark, sf_dir, "subset", lambda: Hierarchy(n, base_radius=BASE, zones=even)).costs.where("layer = 0")
+    return _once(spark, sf_dir, "subset", lambda: Hierarchy(n, base_radius=BASE, zones=even))
+
+
+def zone_subset_costs(spark, sf_dir):
+    return _subset(spark, sf_dir).costs.where("layer = 0")
+
+
+def zone_subset_layers(spark, sf_dir):
+    """Costs of all layers of the subset's hierarchy."""
+    return _subset(spark, sf_dir).costs
 
 
 # -- decay and interaction -------------------------------------------------------------------------
@@ -262,7 +278,7 @@ QUERIES = {
     for f in (
         *(net_edges, net_adjacency, net_degree, grid_network, range_join_edges, sssp_single, sssp_cutoff, sssp_rounds, sssp_rounds_all, dense_cost),
         *(network_extent, layer_radii, layer_costs, layer_reps, layer_groups, layer_info, densities, nesting_check, gap_fill_pairs),
-        *(get_cost_pairs, zone_subset_costs, decay_power, decay_exponential, net_operator, interaction_info, accessibility),
+        *(get_cost_pairs, get_cost_all_pairs, zone_subset_costs, zone_subset_layers, decay_power, decay_exponential, net_operator, interaction_info, accessibility),
         *(accessibility_multi, interaction_row, top_zones, accessibility_stats, dense_accessibility, approx_error, parquet_roundtrip),
         *(random_network, large_network, transport_network),
     )

@@ -28,3 +28,12 @@ def zones(spark):
 
 def test_rounds_from_every_node(spark):
     assert {r.src for r in against_sql(spark, "sssp_rounds_all")} == zones(spark)
+
+
+def test_costs_of_all_pairs(spark):
+    z = zones(spark)
+    assert {(r.src, r.dst) for r in against_sql(spark, "get_cost_all_pairs")} == {(a, b) for a in z for b in z}
+
+
+def test_all_layers_of_a_subset(spark):
+    assert len({r.layer for r in against_sql(spark, "zone_subset_layers")}) > 1
