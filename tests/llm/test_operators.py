@@ -152,34 +152,105 @@ def repeats(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats(spark, seed, monkeypatch):
+def repeat_rows(seed):
     r = random.Random(seed)
     rows = [(x[0], x[1]) for x in nasty(seed)]
     passage = sentence(r, 25)
     rows += [(1000 + k, sentence(r, 8) + passage[k % 7 : len(passage) - k % 5] + sentence(r, 8)) for k in range(30)]
     rows += [(2000, "ab" * 400), (1999, "ba" * 90), (2001, "é" * 77), (2002, "é" * 30 + "\0" * 120), (2003, "\0" * 60), (1998, "\0" * 55)]
     r.shuffle(rows)
-    got = tuples(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got == repeats(rows)
+    return rows
+
+
+DIGEST = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@pytest.mark.parametrize(("seed", "heavy"), [(1, False), (2, False), (3, True)])
+def test_repeats(spark, seed, heavy, monkeypatch):
+    if heavy:  # every shard is dealt again by whole windows
+        monkeypatch.setattr(suffixes, "HEAVY", 0)
+        monkeypatch.setattr(suffixes, "HEAVY_WINDOWS", 0)
+    if seed == 2:  # many parts, buckets of several tasks, levels of several batches
+        monkeypatch.setattr(suffixes, "PART", 2000)
+        monkeypatch.setattr(suffixes, "BATCH_WINDOWS", 500)
+        monkeypatch.setattr(suffixes, "BLOCK", 64)
+    rows = repeat_rows(seed)
+    found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert tuples(found, *DIGEST) == repeats(rows)
+    by = {(d, t or "") for d, t in rows}
+    for r in found.collect():
+        assert any(d == r.doc_id and len(t.encode()) == r.n_bytes for d, t in by) and r.runs == sorted(r.runs)
 
 
 def test_repeats_empty(none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
-def test_family_levels():
+def test_repeats_of_a_very_long_text(spark):
+    r = random.Random(8)
+    long = sentence(r, 400_000)
+    rows = [(5, long), (7, "new words first " + long[1_000_000:1_500_000] + " and last"), (3, "x" * 3_000_000)]
+    got = {x.doc_id: x for x in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[7].n_removed >= len(long[1_000_000:1_500_000].encode()) and got[5].n_removed == got[3].n_removed == 0
+    assert got[3].n_bytes == 3_000_000
+
+
+def test_repeat_index_outlasts_a_call(spark, tmp_path):
+    rows = repeat_rows(4)
+    first = {}
+    path = str(tmp_path / "index")
+    sizes = []
+    for k in range(5):
+        batch = rows[k::5]
+        index = suffixes.RepeatIndex(spark, path, shard_bits=3)  # found again by its manifest
+        got = tuples(index.add(spark.createDataFrame(batch, "doc_id long, text string").repartition(3)), *DIGEST)
+        want = Counter()
+        for d, t in batch:
+            b = (t or "").encode()
+            for i in range(len(b) - 49 if d is not None else 0):
+                first[b[i : i + 50]] = min(first.get(b[i : i + 50], d), d)
+        for d, t in batch:
+            b = (t or "").encode()
+            gone = bytearray(len(b))
+            for i in range(len(b) - 49 if d is not None else 0):
+                if first[b[i : i + 50]] < d:
+                    gone[i : i + 50] = b"\1" * 50
+            kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+            want[d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
+        assert got == want, k
+        sizes.append([n.bit_length() for _, n in index.levels])
+        assert sizes[-1] == sorted(set(sizes[-1]), reverse=True)
+    assert sum(n for _, n in index.levels) >= len(first) and any(len(x) < k for k, x in enumerate(sizes))
+
+
+def test_family_levels(monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK", 16)
     r = np.random.RandomState(0)
     family, seen = suffixes.Family(), {}
     for batch in range(12):
-        w = np.array([bytes(r.randint(97, 99, 6).astype(np.uint8)) + b"x" * 44 for _ in range(40)], "S50")
-        doc = np.arange(batch * 40, batch * 40 + 40)
-        got = family.scan(w, doc)
-        for x, d in zip(w.tolist(), doc.tolist(), strict=True):
-            seen.setdefault(x, d)
-        assert got.tolist() == [seen[x] for x in w.tolist()]
-    sizes = [len(k).bit_length() for k, _ in family.levels]
+        store = r.randint(97, 99, 300).astype(np.uint8)
+        store[r.randint(0, 300, 3)] = 120
+        store = np.concatenate((store[:120], store[40:180], store))
+        pos = np.arange(len(store) - 49)
+        doc = batch * 40 + pos // 20
+        got = family.scan(store, pos, doc)
+        for p, d in zip(pos.tolist(), doc.tolist(), strict=True):
+            seen.setdefault(store[p : p + 50].tobytes(), d)
+        assert got.tolist() == [seen[store[p : p + 50].tobytes()] for p in pos.tolist()]
+    sizes = [len(x).bit_length() for x in family.levels]
     assert sizes == sorted(set(sizes), reverse=True)
+    for x in family.levels:
+        keys = [x.key(k) for k in range(len(x))]
+        assert keys == sorted(set(keys)) and [seen[k] for k in keys] == x.owner.tolist()
+
+
+def test_packing():
+    r = np.random.RandomState(3)
+    for x in (np.zeros(0, np.int64), np.array([-5]), r.randint(-100, 100, 9), np.array([1 << 62, -(1 << 63), (1 << 63) - 1, 0]), r.randint(0, 1 << 40, 50)):
+        assert suffixes._sums(suffixes._steps(x), len(x)).tolist() == x.tolist()
+        assert suffixes._wide(suffixes._narrow(x), len(x)).tolist() == x.tolist()
+    h = r.randint(0, 1 << 62, 7).astype(np.uint64)
+    assert suffixes._from_six(suffixes._six(h)).tolist() == (h & np.uint64((1 << 48) - 1)).tolist()
 
 
 def test_anchors_cut_anywhere(monkeypatch):
