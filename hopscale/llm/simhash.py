@@ -9,8 +9,9 @@ gives five keys of 32 equal bits, 20 for a fingerprint. Inside a key's group the
 checked first and only then all 64 bits.
 
 Equal fingerprints are one node, so copies never meet as pairs. A group emits a spanning forest, not
-its pairs; groups of more than a few thousand fingerprints are searched by flipping up to three of the
-free 32 bits, which bounds the work for each fingerprint. Components come from distributed rounds.
+its pairs; groups of more than a few thousand fingerprints are searched by flipping up to three of the 48
+bits outside the start's segment. Of the 18,472 such differences the budgets leave 11,472, each one binary
+search in the group for every fingerprint. Components come from distributed rounds.
 
 One fingerprint finds a near copy only if chance keeps all but 3 bits. `prints` asks for several
 independent ones from the same shingles; documents link if any of their fingerprints do.
@@ -19,7 +20,6 @@ independent ones from the same shingles; documents link if any of their fingerpr
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -96,12 +96,17 @@ def _within(x: np.ndarray, start: int) -> np.ndarray:
     return ok
 
 
-@cache
+_FLIPS: dict[int, np.ndarray] = {}
+
+
 def _flips(start: int) -> np.ndarray:
-    """All differences of one to three bits that keep the budgets of the chains from that start."""
+    """All differences of one to three bits that keep the budgets of the chains from that start, worked out once a worker."""
+    if start in _FLIPS:
+        return _FLIPS[start]
     own = [x for j in range(SEGMENTS) if j != start for x in range(16 * j, 16 * j + 16)]
     m = np.array([sum(1 << x for x in bits) for size in range(1, DISTANCE + 1) for bits in combinations(own, size)], np.uint64)
-    return m[_within(m, start)]
+    _FLIPS[start] = m[_within(m, start)]
+    return _FLIPS[start]
 
 
 def _forest(fps: np.ndarray, start: int) -> np.ndarray:
