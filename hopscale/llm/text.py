@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hopscale.scratch import small
+
 #: Runs of ASCII white space; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -40,3 +42,18 @@ def uniform(*cols: str | Column, seed: int) -> Column:
     """A double strictly between 0 and 1 that depends on the columns and the seed only."""
     h = F.xxhash64(*cols, F.lit(seed))
     return (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / F.lit(float(2**52))
+
+
+def free(name: str, *frames: DataFrame) -> str:
+    """name, with underscores added until no frame has a column of that name."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs without the rows whose id and text are in gone: (id, xxhash64 of the text), a written table. It is broadcast if counted to be small."""
+    i, k = free("_i", docs), free("_k", docs)
+    gone = small(gone).toDF(i, k)
+    return docs.join(gone, F.col(doc_id).cast(gone.schema[i].dataType).eqNullSafe(F.col(i)) & (F.xxhash64(whole(text)) == F.col(k)), "left_anti")
