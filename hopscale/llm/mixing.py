@@ -14,7 +14,8 @@ the unit of the targets; its error is at most half of the one document at the cu
 Scale. A source's order is cut without sorting the source: words are summed by 2**16 ranges of the
 order, the range that holds the cut is found from these sums, and only its documents are sorted. So a
 source with a third of all rows is dealt over all tasks. Tables by source are as long as the list of
-sources; those by (source, size) as the list of distinct sizes. Joins with them are broadcast only if
+sources, which one task sorts to find the common level: some ten million sources, not billions. Those
+by (source, size) are as long as the list of distinct sizes. Joins with them are broadcast only if
 their written size is below Spark's threshold.
 """
 
@@ -24,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hopscale.llm.text import uniform
+from hopscale.llm.text import free, uniform
+from hopscale.operators.ranking import ranked
 from hopscale.scratch import Scratch
 
 RANGES = 65536
@@ -44,10 +46,9 @@ def _level(df: DataFrame, by: list[str], cap: Column, weight: Column, budget: Co
     return df.groupBy(*by).agg(F.min(open_)["_level"].alias("level"))
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, max_copies: int) -> DataFrame:
+def source_targets(tmp: Scratch, sizes: DataFrame, weights: tuple[float, ...], budget: float, max_copies: int) -> DataFrame:
     """sizes (source, source_size) -> (source, source_size, target). Weights repeat over the sources by code point, null last."""
-    n = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    s = sizes.withColumn("_rank", n).withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("_rank") % len(weights) + 1).cast("int")))
+    s = ranked(tmp, sizes.withColumn("_none", F.col("source").isNull()), ["_none", "source"], "source_ranges").withColumnRenamed("rank", "_rank").withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("_rank") % len(weights) + 1).cast("int")))
     total = s.agg(F.sum("source_size").cast("double").alias("total"))
     s = s.crossJoin(F.broadcast(total))  # one row
     level = _level(s, [], F.col("source_size") * float(max_copies), F.col("weight"), F.col("total") * budget)
@@ -56,21 +57,23 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float,
     return s.select("source", "source_size", F.when(F.col("level").isNull(), cap).otherwise(F.least(cap, F.col("level") * F.col("weight"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", size: str | Column = "size", source: str = "source", weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, max_copies: int = 2, tilt: float = 0.5, seed: int = 20, targets: DataFrame | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", size: str | Column = "size", source: str = "source", weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, max_copies: int = 2, tilt: float = 0.5, seed: int = 20, targets: DataFrame | None = None, key: Column | None = None) -> DataFrame:
     """All rows and columns of docs, with a struct column `_mix` of source_size, target, copies and taken.
 
     `targets` (source, target) replaces the weights. A null source is a source of its own, the last.
-    A null or zero size takes nothing. A null id has the draw of null. Rows with equal id, size and
-    source are interchangeable: their draws tie and the cut may take one of them only. An empty table
-    gives an empty one. Columns named like the result's are kept: results are inside `_mix`.
+    A null or zero size takes nothing. A null id has the draw of null. `key` (a hash of the text, say)
+    tells rows of one id apart. Rows with equal id, key, size and source are interchangeable: their
+    draws tie and the cut may take some of them only. An empty table gives an empty one. All columns
+    stay; if docs has a column `_mix`, the new one has one more underscore, and so on; it is the last.
     """
+    key = F.lit(None).cast("long") if key is None else key
     tmp = Scratch(docs.sparkSession)
     words = F.coalesce(F.col(size) if isinstance(size, str) else size, F.lit(0)).cast("long").alias("size")
     rows = docs.select(F.col(source).alias("source"), words)
     hist = tmp.put(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     sizes = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     if targets is None:
-        plan = source_targets(sizes, weights, budget, max_copies)
+        plan = source_targets(tmp, sizes, weights, budget, max_copies)
     else:
         t = targets.select(F.col("source").alias("_s"), F.col("target").cast("double").alias("_t"))
         plan = sizes.join(t, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", F.least(F.coalesce("_t", F.lit(0.0)), F.col("source_size") * float(max_copies)).alias("target"))
@@ -85,13 +88,14 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", size: str | Column =
     plan = plan.join(sure.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     plan = tmp.put(plan.withColumn("rest", F.col("target") - F.coalesce("_sure", F.lit(0.0))), "plan")
 
-    def ranked(id_: Column, df: DataFrame) -> DataFrame:
+    def drawn_at(df: DataFrame) -> DataFrame:
         p = F.least(F.greatest(_expected(max_copies, tilt) - _whole(max_copies, tilt), F.lit(0.0)), F.lit(1.0))
-        u = uniform(id_, seed=seed)
+        u = uniform("id", "key", seed=seed)
         q = F.try_divide(u / (1 - u), p / (1 - p))
         return df.withColumn("_v", F.when((p > _EPS) & (F.col("size") > 0), q / (1 + q))).withColumn("_range", F.when(F.col("_v").isNotNull(), F.least(F.floor(F.col("_v") * RANGES), F.lit(RANGES - 1))).cast("int"))
 
-    drawn = ranked(F.col("id"), _with(docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), words), plan)).where("_v is not null")
+    ids = [F.col(doc_id).alias("id"), key.alias("key"), F.col(source).alias("source"), words]
+    drawn = drawn_at(_with(docs.select(*ids), plan)).where("_v is not null")
     sums = drawn.groupBy("source", "_range").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(W.partitionBy("source").orderBy("_range"))
     at = _with(sums.withColumn("before", upto - F.col("words")), plan).where(F.col("before") + F.col("words") > F.col("rest"))
@@ -100,15 +104,14 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", size: str | Column =
     plan = tmp.put(plan.select("source", "source_size", "target", "level", "rest", F.coalesce("c._range", F.lit(RANGES)).alias("cut"), F.coalesce("c.before", F.lit(0)).alias("before")), "cuts")
 
     keep = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    every = docs.select(keep, F.col(doc_id).alias("id"), F.col(source).alias("source"), words)
-    every = ranked(F.col("id"), _with(every, plan)).withColumn("_whole", _whole(max_copies, tilt))
+    every = drawn_at(_with(docs.select(keep, *ids), plan)).withColumn("_whole", _whole(max_copies, tilt))
     plain = every.where("_v is null or _range <> cut").withColumn("_more", F.coalesce((F.col("_range") < F.col("cut")).cast("int"), F.lit(0)))
-    order = W.partitionBy("source").orderBy("_v", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("source").orderBy("_v", "id", "key", "size").rowsBetween(W.unboundedPreceding, -1)
     cut = every.where("_v is not null and _range = cut").withColumn("_so_far", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     cut = cut.withColumn("_more", (F.col("_so_far") + F.col("size") / 2.0 <= F.col("rest")).cast("int")).drop("_so_far")
     copies = (F.col("_whole") + F.col("_more")).cast("int")
-    made = plain.unionByName(cut).select("_row", F.struct("source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")).alias("_mix"))
-    return made.select("_row.*", "_mix")
+    made = plain.unionByName(cut).select("_row", F.struct("source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")).alias("_made"))
+    return made.select("_row.*", F.col("_made").alias(free("_mix", docs)))
 
 
 def _with(df: DataFrame, plan: DataFrame) -> DataFrame:
@@ -126,7 +129,13 @@ def _whole(max_copies: int, tilt: float) -> Column:
     return F.floor(_expected(max_copies, tilt) + _EPS).cast("int")
 
 
-def expand(mixed: DataFrame) -> DataFrame:
-    """One row for each copy that the mix takes, without `_mix`."""
-    repeats = F.explode(F.sequence(F.lit(1), F.col("_mix.copies")))
-    return mixed.where("_mix.copies > 0").select("*", repeats.alias("_copy")).drop("_mix", "_copy")
+def expand(mixed: DataFrame, mix: str | None = None) -> DataFrame:
+    """One row for each copy that the mix takes, without the mix's column (by default the last one).
+
+    All other columns stay as they are, whatever their names, nulls included; repeated rows are repeated
+    as often as each of them is taken. Nothing taken, or an empty table, gives an empty table.
+    """
+    name = mix or mixed.columns[-1]
+    copy = free("_copy", mixed)
+    repeats = F.explode(F.sequence(F.lit(1), F.col(f"{name}.copies")))
+    return mixed.where(F.col(f"{name}.copies") > 0).select("*", repeats.alias(copy)).drop(name, copy)
