@@ -1,6 +1,6 @@
 """Operator 2: licence scan over a positional index of rare words.
 
-The index holds, for each template of a licence, its words of highest inverse document frequency over
+The index holds, for each passage of a licence's wording (a template), its words of highest inverse document frequency over
 the template library, with their positions. A file's words are looked up in it; each posting gives the
 place where the template would begin. Places that enough of a template's rare words agree on, give or
 take SLACK words that a file inserts or leaves out, are its candidate alignments, and an alignment counts
@@ -10,6 +10,9 @@ is the whole phrase in its exact place.
 Everything happens inside the row: postings are intersected by sorting (template, place) and comparing
 each with the one `need - 1` further on. Only where those are near are the postings between counted, each
 posting and each word of the file once. Nothing is shuffled.
+
+Cost. A word is looked up by its hash in a table of slots, and what a template asks for by the template's
+number, so a file's cost grows with its own hits and not with the size of the library.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopscale.llm.text import let, whole
+from hopscale.llm.license_texts import PASSAGES
+from hopscale.llm.text import free, let, whole
 
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE, SHARE, SLACK = 12, 0.6, 8
@@ -43,49 +48,15 @@ BASE = (
     Template("cc-by-nc", "cc by nc", base=True),
 )
 
-#: Fixed wording of public licence notices and their key phrases.
-LIBRARY = (
-    Template(
-        "mit",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-        ("permission is hereby granted free of charge", "without restriction"),
-    ),
-    Template(
-        "apache-2",
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
-        ("except in compliance with the license", "apache org licenses license 2 0"),
-    ),
-    Template("gpl-3", "licensed under the GNU General Public License, version 3", ("gnu general public license version 3",)),
-    Template(
-        "gpl-3",
-        "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-        ("gnu general public license", "version 3"),
-    ),
-    Template(
-        "gpl-2",
-        "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
-        ("gnu general public license", "version 2"),
-    ),
-    Template(
-        "lgpl-3",
-        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
-        ("gnu lesser general public license", "version 3"),
-    ),
-    Template(
-        "bsd",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
-        ("redistribution and use in source and binary forms", "must retain the above copyright notice"),
-    ),
-    Template(
-        "isc",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-        ("for any purpose with or without fee is hereby granted",),
-    ),
-    Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license v 2 0",)),
-    Template("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    Template("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("creative commons attribution sharealike",)),
-    Template("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("creative commons attribution noncommercial",)),
-)
+_MARKED = re.compile(r"\{\{(.*?)\}\}", re.S)
+
+
+def template(label: str, passage: str) -> Template:
+    """A passage whose key phrases are marked with double braces."""
+    return Template(label, _MARKED.sub(r"\1", passage), tuple(_MARKED.findall(passage)))
+
+
+LIBRARY = tuple(template(*x) for x in PASSAGES)
 
 
 def _words(text: str) -> list[str]:
@@ -117,23 +88,31 @@ def lower_ascii(c: Column) -> Column:
 def scan(docs: DataFrame, *, text: str = "text", templates: tuple[Template, ...] = LIBRARY, base: tuple[Template, ...] = BASE) -> DataFrame:
     """All rows and columns of docs with a struct column `_license`.
 
-    n_words; places: array of (label, word, score, base), the verified alignments with the word where
-    each begins, whole texts, all places; base_labels and labels: sorted distinct arrays; score: the
+    n_words; places: array of (label, word, score, base, template), the verified alignments with the word
+    where each begins, whole texts, all places, of each passage of a notice; base_labels and labels: sorted distinct arrays; score: the
     largest share of a template's rare words that agree on a verified place, 0 without any. A null text is empty:
-    no words, no places. Templates must be in ASCII. Repeated rows are judged alike.
+    no words, no places. Templates must be in ASCII. Repeated rows are judged alike. All
+    columns stay; if docs has a column `_license`, the new one has one more underscore, and so on; it is the last.
     """
     every = (*base, *templates)
     postings, need = _index(every)
-    lit_map = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]))])
+    slots: list[list[str]] = [[] for _ in range(1 << (2 * len(postings)).bit_length())]
+    for w in postings:
+        slots[xxhash.xxh64_intdigest(w.encode(), 42) % len(slots)].append(w)
+    entry = lambda w: F.struct(F.lit(w).alias("w"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]).alias("ps"))
+    nothing = F.array().cast("array<struct<w:string,ps:array<struct<t:int,p:int>>>>")
+    index = F.array(*[F.array(*map(entry, slot)) if slot else nothing for slot in slots])
+    looked_up = lambda w: F.get(F.filter(F.get(index, F.xxhash64(w).bitwiseAND(F.lit(len(slots) - 1)).cast("int")), lambda x: x["w"] == w), F.lit(0))["ps"]
     need_of = F.array(*map(F.lit, need))
     total_of = F.array(*[F.lit(float(sum(t == n for ps in postings.values() for t, _ in ps))) for n in range(len(every))])
     sizes = [len(_words(t.text)) for t in every]
     keys = [tuple(" ".join(_words(k)) for k in t.keys) or (" ".join(_words(t.text)),) for t in every]
     const = lambda xs: F.array(*map(F.lit, xs))
+    keys_of = F.array(*[const([f" {k} " for k in ks]) for ks in keys])
 
     words = F.array_remove(F.split(lower_ascii(whole(text)), OTHER, -1), "")
     rare = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(*postings), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    hits = lambda found: F.array_sort(F.flatten(F.transform(found, lambda x: F.transform(F.element_at(lit_map, x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at"), q["p"].alias("p"))))))
+    hits = lambda found: F.array_sort(F.flatten(F.transform(found, lambda x: F.transform(looked_up(x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at"), q["p"].alias("p"))))))
 
     slack_of = const([0 if t.base else SLACK for t in every])
 
@@ -173,25 +152,16 @@ def scan(docs: DataFrame, *, text: str = "text", templates: tuple[Template, ...]
         start = F.greatest(c["at"] - slack, F.lit(0))
         span = F.concat(F.lit(" "), F.array_join(F.slice(w, start + 1, F.greatest(c["at"] + n + slack - start, F.lit(0))), " "), F.lit(" "))
 
-        def holds(here: Column) -> Column:
-            ok = F.lit(False)
-            for t in range(len(every)):
-                one = c["t"] == t
-                for k in keys[t]:
-                    one = one & F.contains(here, F.lit(f" {k} "))
-                ok = ok | one
-            return ok
-
-        return ((slack > 0) | (c["at"] >= 0)) & let(span, holds)
+        return ((slack > 0) | (c["at"] >= 0)) & let(span, lambda here: F.forall(F.get(keys_of, c["t"]), lambda k: F.contains(here, k)))
 
     def places(w: Column, h: Column) -> Column:
         share = lambda c: F.least(F.lit(1.0), c["n"] / F.get(total_of, c["t"]))
         good = let(F.filter(agreed(h), lambda c: verified(w, c)), apart)
-        return F.transform(good, lambda c: F.struct(F.get(const([t.label for t in every]), c["t"]).alias("label"), c["at"].alias("word"), share(c).alias("score"), F.get(const([t.base for t in every]), c["t"]).alias("base")))
+        return F.transform(good, lambda c: F.struct(F.get(const([t.label for t in every]), c["t"]).alias("label"), c["at"].alias("word"), share(c).alias("score"), F.get(const([t.base for t in every]), c["t"]).alias("base"), c["t"].alias("template")))
 
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), words.alias("_w"))
     d = d.withColumn("_rare", rare)
-    none = F.array().cast("array<struct<label:string,word:int,score:double,base:boolean>>")
+    none = F.array().cast("array<struct<label:string,word:int,score:double,base:boolean,template:int>>")
     found = let(F.col("_w"), lambda w: let(hits(F.col("_rare")), lambda h: places(w, h)))
     d = d.withColumn("_places", F.when(F.size("_rare") > 0, found).otherwise(none))
     labels = lambda xs: F.array_sort(F.array_distinct(F.transform(xs, lambda p: p["label"])))
@@ -203,4 +173,4 @@ def scan(docs: DataFrame, *, text: str = "text", templates: tuple[Template, ...]
         labels(F.col("_places")).alias("labels"),
         F.coalesce(F.array_max(F.transform("_places", lambda p: p["score"])), F.lit(0.0)).alias("score"),
     )
-    return d.select("_row.*", out.alias("_license"))
+    return d.select("_row.*", out.alias(free("_license", docs)))
