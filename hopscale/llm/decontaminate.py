@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopscale.llm.text import let, whole
+from hopscale.llm.text import let, whole, without
 from hopscale.scratch import Scratch, small
 
 SHINGLE = 5
@@ -88,8 +88,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """docs without the rows that leak an item."""
+    """docs without the rows that leak an item; all columns stay, whatever their names. Nulls and repeats as for find_leaks."""
     tmp = Scratch(docs.sparkSession)
     found = find_leaks(docs, items, doc_id=doc_id, text=text, threshold=threshold, tmp=tmp)
-    found = tmp.put(found.select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k")).distinct(), "leaks")
-    return docs.join(small(found), F.col(doc_id).eqNullSafe(F.col("_i")) & (F.xxhash64(whole(text)) == F.col("_k")), "left_anti")
+    return without(docs, tmp.put(found.select("doc_id", "text_key").distinct(), "leaks"), doc_id, text)

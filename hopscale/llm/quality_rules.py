@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopscale.llm.text import SPACE, let, space_words, whole
+from hopscale.llm.text import SPACE, free, let, space_words, whole
 
 WINDOW = 8
 #: Fixed patterns of the line rules.
@@ -83,7 +83,8 @@ def clean_lines(docs: DataFrame, *, text: str = "text", min_words: int = 20, max
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and lost_chars are counts (long);
     base_failed and kept are the verdicts; clean_text is the text without the failing lines.
     A null text is an empty one: no words, so it fails the base rules. Lines without a word never fail
-    and stay. Repeated rows are judged alike. Columns named like the fields stay as they are.
+    and stay. Repeated rows are judged alike. All columns stay; if docs has a column `_rules`, the new one has one
+    more underscore, and so on; it is the last column.
     """
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), whole(text).alias("_t"))
     d = d.withColumn("_words", space_words("_t")).withColumn("_lines", F.split("_t", "\n", -1))
@@ -113,4 +114,4 @@ def clean_lines(docs: DataFrame, *, text: str = "text", min_words: int = 20, max
         (~base & (F.col("_lost") <= max_lost * F.col("_chars"))).alias("kept"),
         F.array_join(F.transform(F.filter("_facts", lambda x: ~fails(x, min_line_words, max_marks)), lambda x: x["line"]), "\n").alias("clean_text"),
     )
-    return d.select("_row.*", rules.alias("_rules"))
+    return d.select("_row.*", rules.alias(free("_rules", docs)))

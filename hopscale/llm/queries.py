@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopscale.llm import chat, decontaminate, licenses, mixing, quality_model, quality_rules, sharding, simhash, suffixes, warc
-from hopscale.llm.text import n_space_words
+from hopscale.llm.text import n_space_words, whole
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = docs.select("doc_id", "source", n_space_words("text").alias("size"))
+    sized = docs.select("doc_id", "source", n_space_words("text").alias("size"), F.xxhash64(whole("text")).alias("text_key"))
     tmp = mixing.Scratch(spark)
-    mixed = mixing.mix_sources(tmp.put(sized, "sized"), doc_id="doc_id", size="size", source="source", weights=(3.0, 1.0, 2.0), budget=1.5, max_copies=2)
+    mixed = mixing.mix_sources(tmp.put(sized, "sized"), doc_id="doc_id", size="size", source="source", weights=(3.0, 1.0, 2.0), budget=1.5, max_copies=2, key=F.col("text_key"))
     return mixed.select("doc_id", "size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 

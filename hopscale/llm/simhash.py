@@ -29,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopscale.llm import jaccard
+from hopscale.llm.text import free, without
 from hopscale.operators.components import components
-from hopscale.scratch import Scratch, small
+from hopscale.scratch import Scratch
 
 BITS, DISTANCE, SEGMENTS = 64, 3, 4
 PAIRS_UP_TO, _ROWS = 4096, 256
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, prints: int = 1, threshold: float | None = None) -> DataFrame:
-    """docs with one row of each component: that with the smallest id (of repeated rows, one).
+    """docs with one row of each component: that with the smallest id (of repeated rows, one). All columns stay, whatever their names.
 
     With a threshold, links are pairs of at least that Jaccard similarity, found and verified by
     hopscale.llm.jaccard, instead of fingerprints that are close by chance; prints is not used then.
@@ -218,11 +219,10 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shi
     gone = tmp.put(rows.where("not first").select("_i", "_k").unionByName(tied.select("_i", "_k")).distinct(), "gone")
     tmp.free()
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    same = lambda t: F.col(doc_id).cast("long").eqNullSafe(t["_i"]) & (key == t["_k"])
-    gone = small(gone)
-    left = docs.join(gone, same(gone), "left_anti")
+    left = without(docs, gone, doc_id, text)
     if tied.isEmpty():
         return left
-    pick = tied.where("pick").select("_i", "_k")
-    some = docs.withColumn("_key", key).join(pick, F.col(doc_id).cast("long").eqNullSafe(pick["_i"]) & (F.col("_key") == pick["_k"]), "left_semi")
-    return left.unionByName(some.dropDuplicates([doc_id, "_key"]).drop("_key"))
+    i, k, own = free("_i", docs), free("_k", docs), free("_key", docs)
+    pick = tied.where("pick").select(F.col("_i").alias(i), F.col("_k").alias(k))
+    some = docs.withColumn(own, key).join(pick, F.col(doc_id).cast("long").eqNullSafe(F.col(i)) & (F.col(own) == F.col(k)), "left_semi")
+    return left.unionByName(some.dropDuplicates([doc_id, own]).drop(own))

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -105,6 +106,50 @@ def test_mixing(spark, docs, none):
     assert got["a"] == 50 and got["b"] == 0 and got[None] == 2 * sizes[None]
 
 
+@pytest.mark.parametrize("tilt", [0.5, 0.0])
+def test_pareto_order(spark, docs, tilt):
+    """Inclusion odds, whole copies and the order of the sample, document by document."""
+    sized = docs.select("doc_id", "source", n_space_words("text").alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    mixed = mixing.mix_sources(sized, tilt=tilt, budget=0.7, key=F.col("key")).collect()
+    by = defaultdict(list)
+    for r in mixed:
+        by[r.source].append(r)
+    some = 0
+    for own in by.values():
+        target = own[0]._mix.target
+        expected = lambda c, n: 0.0 if n <= 0 else min(2.0, c * n**-tilt)
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(expected(mid, r.size) * r.size for r in own) < target else (low, mid)
+        rest, drawn, want = target, [], {}
+        for k, r in enumerate(own):
+            e = expected(high, r.size)
+            whole = int(e + 1e-9)
+            want[k] = whole
+            rest -= whole * r.size
+            if e - whole > 1e-7:
+                h = spark_hash(r.doc_id, r.key, (20,))
+                u = ((h >> 12) + 0.5) / 2**52
+                drawn.append((u / (1 - u) / ((e - whole) / (1 - e + whole)), k, r.size))
+        so_far = 0
+        for _, k, n in sorted(drawn):
+            if so_far + n / 2 <= rest + 1e-6:
+                want[k] += 1
+                some += 1
+            so_far += n
+        assert Counter((r.doc_id, r.key, r._mix.copies) for r in own) == Counter((own[k].doc_id, own[k].key, n) for k, n in want.items())
+    assert some > 10
+
+
+def test_inclusion_follows_its_odds(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.when(F.col("id") % 2 == 0, 10).otherwise(40).cast("long").alias("size"))
+    got = mixing.mix_sources(df, budget=0.5, weights=(1.0,)).groupBy("size").agg(F.avg("_mix.copies").alias("p"), F.sum("_mix.taken").alias("taken")).collect()
+    p = {r["size"]: r.p for r in got}
+    # odds fall with the square root of the size, and the words meet the target
+    assert p[10] / p[40] == pytest.approx(2, rel=0.12) and abs(sum(r.taken for r in got) - 37500) <= 20
+
+
 # -- 2 ---------------------------------------------------------------------------------------------
 
 
@@ -412,10 +457,86 @@ def test_sharding(spark, docs, none):
     assert all(r.slot == 0 for r in few) and len({r.shard for r in few}) == 3
 
 
-def test_write_shards(spark, docs, tmp_path):
-    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    sharding.write_shards(own, sharding.shard_rows(own, n_shards=3), str(tmp_path / "s"))
-    assert Counter(r.doc_id for r in spark.read.parquet(str(tmp_path / "s")).collect()) == Counter(r.doc_id for r in own.collect())
+def spark_hash(*values):
+    """Spark's xxhash64 of strings, ints and longs (an int is a 1-tuple); nulls change nothing."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i", *v) if isinstance(v, tuple) else struct.pack("<q", v), h)
+    return h
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_fractional_order(spark, docs, spread):
+    """The order of the places by brute force, rank by rank."""
+    rows, count = [], Counter()
+    for x in nasty():
+        t, src = x[1] or "", x[3]
+        h = signed(spark_hash(t, (7,)))
+        copy = count[x[0], h] if spread else 0
+        count[x[0], h] += 1
+        each = signed(spark_hash(x[0], h, copy, (7,)))
+        key = each if spread else signed(spark_hash(h, (7,)))
+        rows.append((src, key, each, x[0], len(t.encode()) + 1, zlib.crc32(t.encode())))
+    by = defaultdict(list)
+    for r in rows:
+        by[r[0]].append(r)
+    null = lambda v: (v is not None, v or 0)
+    placed = []
+    for src, own in by.items():
+        # ranges are of the hash's bits without a sign; inside a range, signed
+        own.sort(key=lambda r: ((r[1] % (1 << 64)) >> 60, r[1], r[2], null(r[3])))
+        placed += [((k + 0.5) / len(own), (src is not None, (src or "").encode()), r) for k, r in enumerate(own)]
+    placed.sort(key=lambda x: (x[0], x[1], x[2][1], x[2][2], null(x[2][3])))
+    n = len(placed)
+    want = [(r[3], r[0], r[4], r[5], k * 8 // n) for k, (_, _, r) in enumerate(placed)]
+    got = sharding.shard_rows(docs, spread=spread).collect()
+    got.sort(key=lambda r: (r.shard, r.slot))
+    assert [(r.doc_id, r.source, r.size, r.text_crc32, r.shard) for r in got] == want
+
+
+def test_equal_texts_and_copies(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [sentence(r, 30) + str(k) for k in range(300)]
+    rows = [(k, texts[k % 300], "en", r.choice("ab")) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    shard = defaultdict(set)
+    for x in sharding.shard_rows(df).collect():
+        shard[x.text_crc32].add(x.shard)
+    assert sum(len(v) > 1 for v in shard.values()) < 110  # by chance 295 of 300 would be split
+    # ranges with more than HOT rows are cut again: the same counts, and still gapless
+    monkeypatch.setattr(sharding, "HOT", 3)
+    hot = sharding.shard_rows(df).collect()
+    assert sorted(Counter(x.shard for x in hot).values()) == [112] * 4 + [113] * 4
+    assert sorted((x.shard, x.slot) for x in hot) == [(k, j) for k in range(8) for j in range(Counter(x.shard for x in hot)[k])]
+    # repeated rows, dealt like any other
+    again = spark.createDataFrame([x for x in rows[:300] for _ in range(2)], df.schema).repartition(3)
+    order = sorted(sharding.shard_rows(again, spread=True).collect(), key=lambda x: (x.shard, x.slot))
+    for src in "ab":
+        own = [x.doc_id for x in order if x.source == src]
+        assert sum(a == b for a, b in zip(own, own[1:], strict=False)) < 12
+    reordered = sharding.shard_rows(again.repartition(5), spread=True).collect()
+    assert Counter(map(tuple, order)) == Counter(map(tuple, reordered))
+
+
+def test_write_shards(spark, docs, none, tmp_path):
+    mine = docs.withColumn("shard", F.lit("theirs")).withColumn("slot", F.col("doc_id"))
+    placed = sharding.shard_docs(mine, n_shards=3, spread=True)
+    assert placed.columns == [*mine.columns, "_place"]
+    sharding.write_shards(placed, str(tmp_path / "s"), files=7)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter(tuple(r[c] for c in [*docs.columns, "shard_", "slot_"]) for r in back.collect()) == Counter(map(tuple, mine.collect()))
+    for k in range(3):
+        files = sorted((tmp_path / "s" / f"shard={k}").glob("*.parquet"))
+        slots = [r.slot for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert len(files) > 1 and slots == list(range(len(slots)))
+    want = Counter((r.doc_id, r.shard, r.slot) for r in sharding.shard_rows(mine, n_shards=3, spread=True).collect())
+    assert Counter((r.doc_id, r.shard, r.slot) for r in back.collect()) == want
+    assert sharding.shard_docs(none).count() == 0
 
 
 # -- 8 ---------------------------------------------------------------------------------------------
@@ -509,6 +630,86 @@ def test_sites_shrink(spark):
     assert abs(r[299].path_quality - 2 / 3) < 0.05 and r[1].kept and not r[0].kept
 
 
+def test_posteriors_by_force(spark):
+    """Sums, strengths and leave-one-out posteriors in plain Python, from the model's evidence."""
+    r0 = random.Random(12)
+    sites = [(r0.choice(["a", "a", "a", "b", "c", None]), r0.choice(["x", "y", "z", None])) for _ in range(250)]
+    good = lambda h, p: r0.random() < {"a": 0.9, "b": 0.5, "c": 0.15, None: 0.7}[h] - 0.35 * (p == "z")
+    rows = [(k, ("Plain words stand here in a row and so on. " if good(h, p) else "zz%%% ## ") * r0.randint(1, 9), h, p) for k, (h, p) in enumerate(sites)]
+    rows += [rows[4], rows[4], (None, "x", "lonely", "x"), (7, "another text of this id", "b", "x"), (900, None, "d", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(k, int("%" not in rows[k][1])) for k in range(0, 250, 3)] + [(0, None), (999, 1)], "doc_id long, quality int")
+    label = {k: float("%" not in rows[k][1]) for k in range(0, 250, 3)}
+    got = quality_model.score(df, labels).withColumnRenamed("text_key", "t").collect()
+    keys = {(d, signed(spark_hash(t or ""))): (h, p) for d, t, h, p in rows}
+    of = [keys[r.doc_id, r.t] for r in got]
+    e = [label.get(r.doc_id, r.doc_quality) for r in got]
+    n, s, hn, hs = Counter(), Counter(), Counter(), Counter()
+    for (h, p), x in zip(of, e, strict=True):
+        n[h, p] += 1
+        s[h, p] += x
+        hn[h] += 1
+        hs[h] += x
+    m, inside = sum(e) / len(e), lambda x: min(max(x, 1e-6), 1 - 1e-6)
+
+    def strength(groups):  # (size, sum, prior mean)
+        g = len(groups)
+        # a group's mean varies by c (1 - c) / a around its prior if sites do not differ
+        between = sum(a * ((b / a - c) ** 2 - c * (1 - c) / a) for a, b, c in groups) / sum(a for a, _, _ in groups)
+        return min(max(sum(c * (1 - c) for _, _, c in groups) / g / max(between, 1e-9) - 1, 1.0), 1e4)
+
+    k1 = strength([(hn[h], hs[h], m) for h in hn])
+    prior = {h: inside((k1 * m + hs[h]) / (k1 + hn[h])) for h in hn}
+    k2 = strength([(n[x], s[x], prior[x[0]]) for x in n])
+    assert 1 < k1 < 1e4 and 1 < k2 < 1e4
+    logit = lambda x: np.log(inside(x) / (1 - inside(x)))
+    for r, (h, p), x in zip(got, of, e, strict=True):
+        rate = inside((sum(e) - x) / (len(e) - 1))
+        host = inside((k1 * rate + hs[h] - x) / (k1 + hn[h] - 1))
+        path = inside((k2 * host + s[h, p] - x) / (k2 + n[h, p] - 1))
+        q = 1 / (1 + np.exp(-(logit(r.doc_quality) + logit(path) - logit(rate))))
+        assert (r.host_quality, r.path_quality, r.quality) == pytest.approx((host, path, q), abs=2e-6)
+        assert r.kept == (r.quality >= 0.5)
+    again = quality_model.score(df.repartition(7), labels).collect()
+    assert Counter(map(tuple, quality_model.score(df, labels).collect())) == Counter(map(tuple, again))
+
+
 def test_fit_on_one_class():
     w = quality_model.fit(np.ones((3, 2)), np.ones(3))
     assert w[0] > 0 and not w[1:].any()
+
+
+# -- columns of any name ---------------------------------------------------------------------------
+
+NAMES = "_mix _license _rules _place _copy _i _k _key _row _t _n _s _h _of _number _task _words _lines _w _at _range _rank _mi _ids _many shard slot size n h key node host path f y deal bucket kind tag first copies taken segments label places".split()
+
+
+@pytest.mark.parametrize("some", [NAMES, [x.upper() for x in NAMES]])
+def test_columns_of_any_name(spark, some):
+    base = spark.createDataFrame([x[:4] for x in nasty(6, 30)], "doc_id long, text string, lang string, source string")
+    mine = base.select("*", *[F.lit(k).alias(c) for k, c in enumerate(some)])
+    values = tuple(range(len(some)))
+
+    def whole(df, extra=0):
+        """Rows of documents with all of the user's values."""
+        assert df.columns[: len(mine.columns)] == mine.columns and len(df.columns) == len(mine.columns) + extra
+        rows = [tuple(r)[: len(mine.columns)] for r in df.collect()]
+        assert all(r[4:] == values for r in rows)
+        return Counter(r[:4] for r in rows)
+
+    every = Counter(map(tuple, base.collect()))
+    labels = base.where("doc_id is not null").select("doc_id", F.lit(1).alias("quality"))
+    bench = spark.createDataFrame([(1, "the of and wood river"), (2, None)], "item_id long, text string")
+    mixed = mixing.mix_sources(mine, size=n_space_words("text"), key=F.xxhash64("text"))
+    assert whole(mixed, 1) == every
+    copies = Counter(r[0] for r in mixed.select(f"{mixed.columns[-1]}.copies").collect())
+    assert sum(whole(mixing.expand(mixed)).values()) == copies[1] + 2 * copies[2]
+    assert whole(licenses.scan(mine), 1) == every and whole(quality_rules.clean_lines(mine), 1) == every
+    assert whole(sharding.shard_docs(mine, spread=True), 1) == every
+    left = whole(quality_model.keep_good(mine, labels))
+    assert left == whole(quality_model.keep_good(base.select("*", *[F.lit(k).alias(c) for k, c in enumerate(some)]), labels)) and left
+    plain = Counter(map(tuple, simhash.keep_one(base, shingle=5, threshold=0.8).collect()))
+    assert whole(simhash.keep_one(mine, shingle=5, threshold=0.8)) == plain and sum(plain.values()) < sum(every.values())
+    assert whole(decontaminate.without_leaks(mine, bench)) == Counter(map(tuple, decontaminate.without_leaks(base, bench).collect()))
+    assert suffixes.remove_repeats(mine).count() == simhash.near_duplicates(mine).count() == sum(every.values())
+    assert sharding.shard_rows(mine).count() == quality_model.score(mine, labels).count() == sum(every.values())
