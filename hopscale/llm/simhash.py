@@ -101,7 +101,7 @@ _FLIPS: dict[int, np.ndarray] = {}
 
 
 def _flips(start: int) -> np.ndarray:
-    """All differences of one to three bits that keep the budgets of the chains from that start, worked out once a worker."""
+    """All differences of one to three bits that keep the budgets of the chains from that start, worked out once a task."""
     if start in _FLIPS:
         return _FLIPS[start]
     own = [x for j in range(SEGMENTS) if j != start for x in range(16 * j, 16 * j + 16)]
