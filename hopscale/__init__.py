@@ -18,7 +18,7 @@ from hopscale.sources.generators import (  # noqa: E402
     generate_random_spatial_network,
     generate_transport_network,
 )
-from hopscale.sources.storage import StorageError, load_hierarchy, load_interaction, save_hierarchy, save_interaction  # noqa: E402
+from hopscale.sources.storage import StorageError, export_npz, import_npz, import_npz_interaction, load_hierarchy, load_interaction, save_hierarchy, save_interaction  # noqa: E402
 
 __version__ = "0.1.0"
 #: Optional single-node packages are never used.
@@ -35,10 +35,13 @@ __all__ = [
     "compute_dense_cost_matrix",
     "compute_dense_interaction_matrix",
     "exponential_interaction",
+    "export_npz",
     "generate_grid_network",
     "generate_large_spatial_network",
     "generate_random_spatial_network",
     "generate_transport_network",
+    "import_npz",
+    "import_npz_interaction",
     "load_hierarchy",
     "load_interaction",
     "power_law_interaction",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType
 
@@ -38,6 +40,23 @@ class Network:
             n = n.unionByName(ends.join(n.select("node_id"), "node_id", "left_anti"), allowMissingColumns=True)
         self.edges, self.nodes = e, n
         self.n_edges = self._check()
+        self.n_nodes = self.nodes.count()
+
+    @classmethod
+    def from_arrays(cls, spark: SparkSession, src, dst, cost, node_ids=None, x=None, y=None) -> Network:
+        """A network from arrays, lists or pandas columns of an edge list, one entry for each undirected edge; nodes without edges in node_ids."""
+        arrow = lambda **c: spark.createDataFrame(pa.table({k: pa.array(np.asarray(v)) for k, v in c.items() if v is not None}))
+        edges = arrow(src=src, dst=dst, cost=cost)
+        return cls(edges, None if node_ids is None else arrow(node_id=node_ids, x=x, y=y))
+
+    @classmethod
+    def from_csr(cls, spark: SparkSession, indptr, indices, data, node_ids=None) -> Network:
+        """A network from a symmetric matrix by compressed rows; of each pair the upper entry counts. Rows are nodes 0, 1, ... or node_ids."""
+        n = len(indptr) - 1
+        ids = np.arange(n) if node_ids is None else np.asarray(node_ids)
+        src, dst = np.repeat(np.arange(n), np.diff(indptr)), np.asarray(indices)
+        up = src <= dst
+        return cls.from_arrays(spark, ids[src[up]], ids[dst[up]], np.asarray(data, np.float64)[up], ids)
 
     def _check(self) -> int:
         c = F.col("cost")

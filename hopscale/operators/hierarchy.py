@@ -9,8 +9,10 @@ lineage stays flat and every later join knows its sizes.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import cached_property, reduce
+from numbers import Integral, Real
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -19,15 +21,16 @@ from hopscale.network import Network
 from hopscale.operators.ranking import ranked
 from hopscale.operators.representatives import assign, first_independent_set
 from hopscale.operators.sssp import ShortestPaths, pick_strategy
-from hopscale.scratch import Scratch
+from hopscale.scratch import SMALL_BYTES, Scratch, small
 
 
 def _number(x) -> bool:
-    return isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
+    """Python's and numpy's numbers, but no truth values."""
+    return isinstance(x, Real) and not isinstance(x, bool) and math.isfinite(x)
 
 
 def _whole(x) -> bool:
-    return isinstance(x, int) and not isinstance(x, bool)
+    return isinstance(x, Integral) and not isinstance(x, bool)
 
 
 class Hierarchy:
@@ -49,7 +52,7 @@ class Hierarchy:
             raise ValueError(f"n_workers must be an integer of at least 1, got {n_workers!r}")
         if not _whole(min_representatives) or min_representatives < 2:
             raise ValueError(f"min_representatives must be an integer of at least 2, got {min_representatives!r}")
-        pick_strategy(backend, network.n_edges)
+        pick_strategy(backend, max(network.n_edges, network.n_nodes))
         self.network, self.spark = network, network.spark
         self.base_radius, self.increase_factor, self.overlap_factor = base_radius, increase_factor, overlap_factor
         self.n_workers, self.min_representatives, self.backend = n_workers, min_representatives, backend
@@ -68,10 +71,10 @@ class Hierarchy:
             z = zones.select("zone").distinct()
             if not isinstance(z.schema["zone"].dataType, IntegralType):
                 raise TypeError("zone ids must be integers")
-        elif isinstance(zones, (list, tuple, set)) and zones:
+        elif isinstance(zones, (list, tuple, set, np.ndarray)) and len(zones):
             if not all(_whole(x) for x in zones):
                 raise TypeError("zone ids must be integers")
-            z = self.spark.createDataFrame([(x,) for x in sorted(set(zones))], "zone long")
+            z = self.spark.createDataFrame([(x,) for x in sorted({int(x) for x in zones})], "zone long")
         else:
             raise ValueError("zones must be a non-empty list, set or DataFrame")
         z = z.select(F.col("zone").cast("long").alias("zone"))
@@ -172,24 +175,50 @@ class Hierarchy:
     # -- use -------------------------------------------------------------------------------------
 
     def get_costs(self, pairs: DataFrame) -> DataFrame:
-        """pairs (src, dst) -> (src, dst, cost, layer): the cost at the finest layer that stores one; inf and null layer if none does.
+        """pairs (src, dst) -> (src, dst, cost, layer): the cost at the finest layer that stores one; inf and null layer if none does. Extra columns are not carried.
 
         Pairs of nodes that are no zones have no cost. Repeated pairs stay repeated.
         """
-        one = pairs.select("src", "dst").distinct()
-        s = self.groups.select("layer", F.col("zone").alias("src"), F.col("rep").alias("rs"))
-        d = self.groups.select("layer", F.col("zone").alias("dst"), F.col("rep").alias("rd"))
-        c = self.costs.select("layer", F.col("src").alias("rs"), F.col("dst").alias("rd"), "cost")
-        hit = one.join(s, "src").join(d, ["dst", "layer"]).join(c, ["layer", "rs", "rd"]).groupBy("src", "dst").agg(F.min(F.struct("layer", "cost")).alias("h"))
-        return pairs.select("src", "dst").join(hit, ["src", "dst"], "left").select("src", "dst", F.coalesce("h.cost", F.lit(float("inf"))).alias("cost"), F.col("h.layer").alias("layer"))
+        own = pairs.select("src", "dst", F.lit(-1).alias("layer"))
+        hit = self.first_match(own, self.costs.withColumnRenamed("cost", "value"))
+        return hit.select("src", "dst", F.coalesce("found", F.lit(float("inf"))).alias("cost"), F.col("at").alias("layer"))
+
+    @cached_property
+    def _chains(self) -> DataFrame:
+        """(zone, r0, r1, ...): each zone's representatives of all layers, one row a zone."""
+        each = [F.max(F.when(F.col("layer") == k, F.col("rep"))).alias(f"r{k}") for k in range(len(self.radii))]
+        return self._tmp.put(self.groups.groupBy("zone").agg(*each), "chains")
+
+    def first_match(self, pairs: DataFrame, stored: DataFrame) -> DataFrame:
+        """pairs (src, dst, layer, ...) with `found` and `at`: the value that the first layer above `layer` stores for the pair's representatives, and that layer; null without one.
+
+        stored (layer, src, dst, value) is one value for each pair. Layers are walked from fine to coarse
+        and match only pairs without a hit. Coarse layers are counted to be small and broadcast, so the
+        few keys they have are never shuffled on; fine ones have many keys.
+        """
+        layers = range(len(self.radii))
+        names = pairs.columns
+        # rows of five numbers at most; one count serves all layers
+        sizes = {r.layer: r["count"] for r in stored.groupBy("layer").count().collect()}
+        chains = small(self._chains)
+        chain = lambda end: chains.select(F.col("zone").alias(f"_{end}"), *[F.col(f"r{k}").alias(f"_{end}{k}") for k in layers])
+        r = pairs.join(chain("s"), F.col("src") == F.col("_s"), "left").join(chain("d"), F.col("dst") == F.col("_d"), "left")
+        r = r.withColumns({"found": F.lit(None).cast("double"), "at": F.lit(None).cast("int")})
+        for k in layers:
+            c = stored.where(F.col("layer") == k).select(F.col("src").alias("_cs"), F.col("dst").alias("_cd"), F.col("value").alias("_v"))
+            on = (F.col(f"_s{k}") == F.col("_cs")) & (F.col(f"_d{k}") == F.col("_cd")) & F.col("found").isNull() & (F.col("layer") < k)
+            c = F.broadcast(c) if 56 * sizes.get(k, 0) <= SMALL_BYTES else c
+            r = r.join(c, on, "left").withColumns({"at": F.when(F.col("found").isNull() & F.col("_v").isNotNull(), F.lit(k)).otherwise(F.col("at")), "found": F.coalesce("found", "_v")}).drop("_cs", "_cd", "_v")
+        return r.select(*names, "found", "at")
 
     def get_cost(self, source_zone: int, dest_zone: int) -> float:
         """One pair; use get_costs for many."""
-        known = {r.zone for r in self.zones.where(F.col("zone").isin(source_zone, dest_zone)).select("zone").collect()}
-        for name, z in (("source_zone", source_zone), ("dest_zone", dest_zone)):
-            if z not in known:
+        given = {"source_zone": source_zone, "dest_zone": dest_zone}
+        known = {r.zone for r in self.zones.where(F.col("zone").isin([int(z) for z in given.values() if _whole(z)])).select("zone").collect()}
+        for name, z in given.items():
+            if not _whole(z) or z not in known:
                 raise ValueError(f"{name} {z!r} is not a zone of the hierarchy")
-        return self.get_costs(self.spark.createDataFrame([(source_zone, dest_zone)], "src long, dst long")).first().cost
+        return self.get_costs(self.spark.createDataFrame([(int(source_zone), int(dest_zone))], "src long, dst long")).first().cost
 
     def get_density(self) -> float:
         """Stored costs over the squared number of zones; can exceed 1."""
@@ -215,8 +244,8 @@ class Hierarchy:
         return both.groupBy("layer", "rep", "coarse_layer").agg(F.count_distinct("coarse_rep").alias("n")).where("n > 1")
 
     def verify_group_nesting(self) -> tuple[bool, list[str]]:
-        """Whether groups nest, and a sentence for each violation (the first 1000)."""
-        bad = self.nesting_violations().orderBy("layer", "rep", "coarse_layer").limit(1000).collect()
+        """Whether groups nest, and a sentence for each violation. For more than a driver can hold, read nesting_violations."""
+        bad = self.nesting_violations().orderBy("layer", "rep", "coarse_layer").collect()
         return not bad, [f"Group nesting violation: group {r.rep} of layer {self.radii[r.layer]:.0f} is split into {r.n} groups at layer {self.radii[r.coarse_layer]:.0f}" for r in bad]
 
     def save(self, path: str, *, include_network: bool = False, backend: str = "auto") -> str:

@@ -37,14 +37,8 @@ class InteractionHierarchy:
         self.shape = (hierarchy.n_zones, hierarchy.n_zones)
 
     def _corrected(self, d: DataFrame, exact_zero: bool) -> DataFrame:
-        g = self.hierarchy.groups
-        s = g.select(F.col("layer").alias("q"), F.col("zone").alias("src"), F.col("rep").alias("rs"))
-        t = g.select(F.col("layer").alias("q"), F.col("zone").alias("dst"), F.col("rep").alias("rd"))
-        c = d.select(F.col("layer").alias("q"), F.col("src").alias("rs"), F.col("dst").alias("rd"), F.col("value").alias("v"))
-        c = c if exact_zero else c.where("v > 0")
-        up = d.select("layer", "src", "dst").join(s, "src").where("q > layer").join(t, ["q", "dst"]).join(c, ["q", "rs", "rd"])
-        first = up.groupBy("layer", "src", "dst").agg(F.min(F.struct("q", "v"))["v"].alias("correction"))
-        full = d.join(first, ["layer", "src", "dst"], "left").select("layer", "src", "dst", "value", "correction", (F.col("value") - F.coalesce("correction", F.lit(0.0))).alias("net"))
+        full = self.hierarchy.first_match(d, d if exact_zero else d.where("value > 0"))
+        full = full.select("layer", "src", "dst", "value", F.col("found").alias("correction"), (F.col("value") - F.coalesce("found", F.lit(0.0))).alias("net"))
         return self._tmp.put(full, f"interactions{id(self)}")
 
     @classmethod

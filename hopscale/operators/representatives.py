@@ -2,49 +2,70 @@
 
 A zone becomes a representative unless a smaller-numbered one is near: the lexicographically first
 maximal independent set of the near pairs. Up to `max_driver_pairs` pairs, a checked bound, are scanned
-once on the driver; beyond it, rounds select every zone without a smaller undecided neighbour. Both
-give the same set.
+once on the driver; beyond it, ids are settled in prefixes of about that many pairs, one scan each, so the
+number of scans is that of the pairs divided by the bound, whatever the order of the ids. Both give the
+same set.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopscale.scratch import Scratch
+from hopscale.scratch import Scratch, small
 
 MAX_DRIVER_PAIRS = 1_000_000
 
 
+def _lost(pairs, before: int | None = None) -> list[int]:
+    """Zones that lose, from an Arrow table of pairs (src, dst), dst < src. All dst under `before` are representatives."""
+    smaller: dict[int, list[int]] = {}
+    for s, t in zip(pairs.column(0).to_pylist(), pairs.column(1).to_pylist(), strict=True):
+        smaller.setdefault(s, []).append(t)
+    out: set[int] = set()
+    for s in sorted(smaller):
+        # zones without a smaller neighbour never lose, so a neighbour that has not lost by now has won
+        if any((before is not None and t < before) or t not in out for t in smaller[s]):
+            out.add(s)
+    return sorted(out)
+
+
 def first_independent_set(tmp: Scratch, zones: DataFrame, near: DataFrame, name: str, max_driver_pairs: int = MAX_DRIVER_PAIRS) -> DataFrame:
     """zones (zone), near (src, dst) in both directions -> (zone)."""
     down = near.where("dst < src").select("src", "dst")
     some = down.limit(max_driver_pairs + 1).toArrow()
     if some.num_rows <= max_driver_pairs:
-        smaller: dict[int, list[int]] = {}
-        for s, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-            smaller.setdefault(s, []).append(t)
-        out: set[int] = set()
-        for s in sorted(smaller):
-            # zones without a smaller neighbour are never lost, so only those in `out` can lose
-            if any(t not in out for t in smaller[s]):
-                out.add(s)
-        lost = zones.sparkSession.createDataFrame([(s,) for s in sorted(out)], "zone long")
+        lost = zones.sparkSession.createDataFrame([(s,) for s in _lost(some)], "zone long")
         return tmp.put(zones.join(lost, "zone", "left_anti"), f"{name}_reps")
-    return _rounds(tmp, zones, down, name)
+    return prefixes(tmp, zones, down, name, max_driver_pairs)[0]
 
 
-def _rounds(tmp: Scratch, zones: DataFrame, down: DataFrame, name: str) -> DataFrame:
-    # 1: representative, 0: lost, null: undecided
-    state = tmp.put(zones.select("zone", F.lit(None).cast("int").alias("is")), f"{name}_r0")
-    down = tmp.put(down, f"{name}_near")
-    k = 0
-    while not state.where("`is` is null").isEmpty():
+def prefixes(tmp: Scratch, zones: DataFrame, down: DataFrame, name: str, limit: int) -> tuple[DataFrame, int]:
+    """(the independent set, number of scans); a scan takes up to `limit` pairs, or all of one zone if it alone has more."""
+    down = tmp.put(down.repartitionByRange("src").sortWithinPartitions("src"), f"{name}_near")
+    total = down.count()
+    parts = math.ceil(2 * total / limit)
+    cuts = down.agg(F.percentile_approx("src", [k / parts for k in range(1, parts)], max(10_000, 20 * parts)).alias("c")).first().c if parts > 1 else []
+    lost, k = None, 0
+    # of a range of ids, pairs with a zone that lost before do not matter
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        own = down
+        if low is not None:
+            own = own.where(F.col("src") > low)
+        if high is not None:
+            own = own.where(F.col("src") <= high)
+        if lost is not None:
+            own = own.join(small(lost.withColumnRenamed("zone", "dst")), "dst", "left_anti").select("src", "dst")
         k += 1
-        seen = down.join(state.select(F.col("zone").alias("dst"), F.col("is").alias("d")), "dst").groupBy("src").agg(F.count_if(F.col("d") == 1).alias("wins"), F.count_if(F.col("d").isNull()).alias("open"))
-        now = F.when(F.col("is").isNotNull(), F.col("is")).when(F.col("wins") > 0, 0).when(F.coalesce("open", F.lit(0)) == 0, 1)
-        state = tmp.put(state.join(seen, F.col("zone") == F.col("src"), "left").select("zone", now.alias("is")), f"{name}_r{k}")
-    return state.where("`is` = 1").select("zone")
+        gone = _lost(own.toArrow(), None if low is None else low + 1)
+        zones.sparkSession.createDataFrame([(s,) for s in gone], "zone long").write.mode("append").parquet(f"{tmp.path}/{name}_lost")
+        lost = zones.sparkSession.read.schema("zone long").parquet(f"{tmp.path}/{name}_lost")
+    reps = tmp.put(zones.join(lost, "zone", "left_anti") if lost is not None else zones, f"{name}_reps")
+    tmp.drop(f"{name}_near", f"{name}_lost", free=False)
+    return reps, k
 
 
 def assign(zones: DataFrame, reps: DataFrame, near: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Shortest paths from many sources, within an inclusive cutoff.
 
 `broadcast`: the adjacency arrays go to every executor and each task runs Dijkstra for its sources.
-Only for networks of at most `max_edges` edges, a bound that is checked.
+Only for networks of at most `max_edges` edges and as many nodes, a bound that is checked.
 `dataframe`: rounds of a join with the adjacency and a grouped minimum; for networks of any size. The
-cutoff prunes inside every round.
+cutoff prunes inside every round. With m the least cost of a round's new entries, later rounds find
+nothing below m; entries below m less the largest edge cost border on none of the new ones. They are
+settled: written once more and never read again, so a round shuffles the open entries only.
 `auto` takes the first where the bound allows it.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,9 @@ STRATEGIES = ("broadcast", "dataframe")
 
 
 def pick_strategy(name: str, n_edges: int, max_edges: int = MAX_BROADCAST_EDGES) -> str:
+    """The strategy of that name; n_edges is the larger of the numbers of edges and nodes."""
+    if name == "broadcast" and n_edges > max_edges:
+        raise ValueError(f"the network has {n_edges} edges or nodes; backend 'broadcast' takes up to {max_edges}")
     if name in STRATEGIES:
         return name
     if name in _AUTO:
@@ -53,12 +59,20 @@ def explore(starts: list[int], ends: list[int], costs: list[float], source: int,
     return done
 
 
+def _lists(shared) -> tuple:
+    """(ids, starts, ends, costs) of a broadcast adjacency, the last three as lists. A worker keeps a broadcast value between tasks, so they are made once a worker."""
+    ids, *rest, made = shared.value
+    if not made:
+        made["lists"] = tuple(a.tolist() for a in rest)
+    return ids, *made["lists"]
+
+
 class ShortestPaths:
     """Searches over one network; what is broadcast is made once."""
 
     def __init__(self, network: Network, strategy: str = "auto", partitions: int | None = None):
         self.network, self.spark = network, network.spark
-        self.strategy = pick_strategy(strategy, network.n_edges)
+        self.strategy = pick_strategy(strategy, max(network.n_edges, network.n_nodes))
         self.partitions = partitions or max(2, self.spark.sparkContext.defaultParallelism)
         self._arrays = None
 
@@ -69,7 +83,7 @@ class ShortestPaths:
             src, dst = (np.searchsorted(ids, t.column(k).to_numpy()) for k in (0, 1))
             order = np.argsort(src, kind="stable")
             starts = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=len(ids)))))
-            self._arrays = self.spark.sparkContext.broadcast((ids, starts, dst[order], t.column(2).to_numpy()[order]))
+            self._arrays = self.spark.sparkContext.broadcast((ids, starts, dst[order], t.column(2).to_numpy()[order], {}))
         return self._arrays
 
     def search(self, sources: DataFrame, cutoff: float | None = None) -> DataFrame:
@@ -79,8 +93,7 @@ class ShortestPaths:
         shared, limit = self._adjacency(), math.inf if cutoff is None else float(cutoff)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, *rest = shared.value
-            starts, ends, costs = (a.tolist() for a in rest)
+            ids, starts, ends, costs = _lists(shared)
             for b in batches:
                 for s in b.column(0).to_numpy():
                     at = int(np.searchsorted(ids, s))
@@ -97,9 +110,15 @@ class ShortestPaths:
         adj = self.network.adjacency.select(F.col("src").alias("_u"), F.col("dst").alias("_v"), F.col("cost").alias("_c"))
         known = self.network.nodes.select(F.col("node_id").alias("src"))
         state = tmp.put(sources.select(F.col("src").cast("long")).distinct().join(known, "src", "left_semi").select("src", F.col("src").alias("dst"), F.lit(0.0).alias("cost")), "s0")
-        frontier, k = state, 0
-        while not frontier.isEmpty():
+        top = self.network.edges.agg(F.max("cost")).first()[0] or 0.0
+        frontier, k, bound, done, drops = state, 0, -math.inf, [], []
+        while (least := frontier.agg(F.min("cost")).first()[0]) is not None:
             k += 1
+            if least - top > bound:
+                # no new entry borders on these; of the others some lie below the last bound no more than these do
+                bound = least - top
+                done.append(tmp.put(state.where(F.col("cost") < bound), f"done{k}"))
+                state = state.where(F.col("cost") >= bound)
             step = frontier.join(adj, F.col("dst") == F.col("_u")).select("src", F.col("_v").alias("dst"), (F.col("cost") + F.col("_c")).alias("cost"))
             if cutoff is not None:
                 step = step.where(F.col("cost") <= float(cutoff))
@@ -107,5 +126,8 @@ class ShortestPaths:
             # 0 marks what was known before, 1 what this round found
             both = state.withColumn("new", F.lit(0)).unionByName(step.withColumn("new", F.lit(1)))
             best = tmp.put(both.groupBy("src", "dst").agg(F.min(F.struct("cost", "new")).alias("b")).select("src", "dst", "b.cost", "b.new"), f"s{k}")
+            if drops:
+                tmp.drop(*drops, free=False)
+            drops = [f"s{k - 1}"]
             state, frontier = best.drop("new"), best.where("new = 1").drop("new")
-        return state
+        return reduce(DataFrame.unionByName, done, state)

@@ -12,9 +12,11 @@ import gc
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampType
 
 _OWN: dict[str, str] = {}
 
@@ -34,12 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-SMALL_ROWS = 500_000
+#: Most bytes of rows that `small` lets Spark broadcast.
+SMALL_BYTES = 16 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """A written table of a few numbers a row, for the small side of a join with wide rows: marked for broadcast only if it is counted to have at most `rows` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def n_bytes(df: DataFrame) -> int:
+    """Bytes of a table's rows as Spark holds them, counted: 8 for each column, and all of strings, arrays and binaries."""
+    long = [c.name for c in df.schema if not isinstance(c.dataType, (NumericType, BooleanType, DateType, TimestampType))]
+    width = 16 + 8 * len(df.columns)
+    sizes = [F.octet_length(c) if isinstance(df.schema[c].dataType, (StringType, BinaryType)) else F.octet_length(F.to_json(F.struct(c))) for c in long]
+    own = reduce(lambda a, b: a + F.coalesce(b.cast("long"), F.lit(0)), sizes, F.lit(width).cast("long"))
+    return df.agg(F.sum(own)).first()[0] or 0
+
+
+def small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """A written table for the small side of a join: marked for broadcast only if its rows are counted to have at most `limit` bytes."""
+    return F.broadcast(df) if n_bytes(df) <= limit else df
 
 
 _MADE: dict[str, list[Scratch]] = {}
@@ -65,13 +77,14 @@ class Scratch:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def drop(self, *names: str) -> None:
+    def drop(self, *names: str, free: bool = True) -> None:
         """Delete tables that nothing reads any more (all of them if none is named), and let Spark free old shuffle files."""
         jvm = self.spark._jvm
         for at in [f"{self.path}/{n}" for n in names] or [self.path]:
             path = jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self.free()
+        if free:
+            self.free()
 
     def free(self) -> None:
         """Collect garbage on the driver, upon which Spark deletes shuffle files of finished queries."""

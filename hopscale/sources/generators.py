@@ -1,7 +1,7 @@
 """Network generators.
 
 Positions of random networks come from numpy's RandomState on the driver, so that they match the
-published sequences; pairs within a radius come from a range join over grid cells of that size.
+published sequences, up to a checked number; they travel as Arrow. Pairs within a radius come from a range join over grid cells of that size.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,45 +37,71 @@ def generate_grid_network(spark: SparkSession, n_x: int, n_y: int, spacing: floa
     return Network(down.unionByName(right).withColumn("cost", F.lit(float(spacing))), n)
 
 
-def _points(spark: SparkSession, n: int, area: float, seed: int) -> DataFrame:
-    xy = np.random.RandomState(seed).uniform(0, area, size=(n, 2))
-    return spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(xy)], "node_id long, x double, y double")
+#: Points come from one sequence of random numbers, so the driver draws them: 24 bytes each.
+MAX_POINTS = 20_000_000
+#: The triangulation is made on the driver, in time that grows with the square of the points.
+MAX_TRIANGULATED = 50_000
+
+
+def _draw(n: int, area: float, seed: int, most: int = MAX_POINTS) -> np.ndarray:
+    if n > most:
+        raise ValueError(f"n_zones must be at most {most}, got {n}: the points are drawn on the driver")
+    return np.random.RandomState(seed).uniform(0, area, size=(n, 2))
+
+
+def _points(spark: SparkSession, xy: np.ndarray) -> DataFrame:
+    x, y = np.ascontiguousarray(xy.T)
+    return spark.createDataFrame(pa.table({"node_id": np.arange(len(xy)), "x": x, "y": y}))
 
 
 def pairs_within(points: DataFrame, radius: float) -> DataFrame:
-    """(src, dst, cost), src < dst: pairs at most `radius` apart. A range join: equal cells after one side is dealt to its 3 x 3 neighbours."""
+    """(src, dst, cost), src < dst: pairs at most `radius` apart."""
+    return between(points, points, radius).where("src < dst")
+
+
+def between(some: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+    """(src, dst, cost): pairs of points of two tables at most `radius` apart. A range join: equal cells after one side is dealt to its 3 x 3 neighbours."""
     cell = lambda c: F.floor(F.col(c) / float(radius)).cast("long")
-    a = points.select(F.col("node_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
-    b = points.select(F.col("node_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("bx0"), cell("y").alias("by0"))
+    a = some.select(F.col("node_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
+    b = others.select(F.col("node_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("bx0"), cell("y").alias("by0"))
     near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     b = b.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("dst", "bx", "by", (F.col("bx0") + F.col("dx")).alias("cx"), (F.col("by0") + F.col("dy")).alias("cy"))
     dist = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    return a.join(b, ["cx", "cy"]).where("src < dst").select("src", "dst", dist.alias("cost")).where(F.col("cost") <= float(radius))
+    return a.join(b, ["cx", "cy"]).select("src", "dst", dist.alias("cost")).where(F.col("cost") <= float(radius))
+
 
+def _connected(tmp: Scratch, points: DataFrame, edges: DataFrame, closest: bool, radius: float) -> DataFrame:
+    """edges and, for each component but the largest, one to the largest: from its smallest node or, if `closest`, from its closest one.
 
-def _connected(tmp: Scratch, points: DataFrame, edges: DataFrame, closest: bool) -> DataFrame:
-    """edges and, for each component but the largest, one to the largest: from its smallest node or, if `closest`, from its closest one."""
+    The nearest node of the largest component is looked for within twice the radius, then four times, and
+    so on; only components without a hit go on, so no round looks at all pairs unless one is that far away.
+    """
     root = components(tmp, edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "cc")
     of = tmp.put(points.join(root, F.col("node_id") == F.col("node"), "left").select("node_id", "x", "y", F.coalesce("root", "node_id").alias("root")), "of")
     sizes = of.groupBy("root").agg(F.count("*").alias("n"))
     main = sizes.orderBy(F.desc("n"), "root").first()
     if main is None or main.n == points.count():
         return edges
-    big = of.where(F.col("root") == main.root).select(F.col("node_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    small = of.where(F.col("root") != main.root)
+    big, left = of.where(F.col("root") == main.root), of.where(F.col("root") != main.root)
     if not closest:
-        small = small.groupBy("root").agg(F.min(F.struct("node_id", "x", "y")).alias("p")).select("root", "p.*")
-    dist = F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2))
-    best = small.crossJoin(big).select("root", F.struct(dist.alias("cost"), F.col("node_id").alias("u"), F.col("dst").alias("v")).alias("e")).groupBy("root").agg(F.min("e").alias("e"))
-    return edges.unionByName(best.select(F.least("e.u", "e.v").alias("src"), F.greatest("e.u", "e.v").alias("dst"), F.col("e.cost").alias("cost")))
+        left = left.groupBy("root").agg(F.min(F.struct("node_id", "x", "y")).alias("p")).select("root", "p.*")
+    left, k = tmp.put(left, "left0"), 0
+    while not left.isEmpty():
+        k, radius = k + 1, 2 * radius
+        near = between(left, big, radius).join(left.select(F.col("node_id").alias("src"), "root"), "src")
+        # within the radius none is missed, so the least of them is the nearest
+        best = tmp.put(near.groupBy("root").agg(F.min(F.struct("cost", F.col("src").alias("u"), F.col("dst").alias("v"))).alias("e")), f"ties{k}")
+        edges = edges.unionByName(best.select(F.least("e.u", "e.v").alias("src"), F.greatest("e.u", "e.v").alias("dst"), F.col("e.cost").alias("cost")))
+        left = tmp.put(left.join(best.select("root"), "root", "left_anti").select("root", "node_id", "x", "y"), f"left{k}")
+    return edges
 
 
 def generate_random_spatial_network(spark: SparkSession, n_zones: int, area_size: float = 100000.0, connection_radius: float = 15000.0) -> Network:
     """Uniform points, edges within a radius; other components hang on the largest by their smallest node."""
     _check(n_zones=(n_zones, 1), area_size=(area_size, None), connection_radius=(connection_radius, None))
     tmp = Scratch(spark)
-    p = tmp.put(_points(spark, n_zones, area_size, 42), "points")
-    return Network(tmp.put(_connected(tmp, p, tmp.put(pairs_within(p, connection_radius), "pairs"), False), "edges"), p)
+    p = tmp.put(_points(spark, _draw(n_zones, area_size, 42)), "points")
+    return Network(tmp.put(_connected(tmp, p, tmp.put(pairs_within(p, connection_radius), "pairs"), False, connection_radius), "edges"), p)
 
 
 def generate_large_spatial_network(spark: SparkSession, n_zones: int, area_size: float = 100000.0, connection_radius: float | None = None, seed: int = 42) -> Network:
@@ -82,8 +109,8 @@ def generate_large_spatial_network(spark: SparkSession, n_zones: int, area_size:
     _check(n_zones=(n_zones, 1), area_size=(area_size, None))
     radius = area_size / math.sqrt(n_zones) * 3 if connection_radius is None else connection_radius
     tmp = Scratch(spark)
-    p = tmp.put(_points(spark, n_zones, area_size, seed), "points")
-    return Network(tmp.put(_connected(tmp, p, tmp.put(pairs_within(p, radius), "pairs"), True), "edges"), p)
+    p = tmp.put(_points(spark, _draw(n_zones, area_size, seed)), "points")
+    return Network(tmp.put(_connected(tmp, p, tmp.put(pairs_within(p, radius), "pairs"), True, radius), "edges"), p)
 
 
 def delaunay_edges(xy: np.ndarray) -> set[tuple[int, int]]:
@@ -116,8 +143,8 @@ def delaunay_edges(xy: np.ndarray) -> set[tuple[int, int]]:
 
 
 def generate_transport_network(spark: SparkSession, n_zones: int, area_size: float = 100000.0, seed: int = 42) -> Network:
-    """Delaunay triangulation of uniform points, made on the driver: for networks of some ten thousand zones at most."""
+    """Delaunay triangulation of uniform points, made on the driver: for MAX_TRIANGULATED zones at most."""
     _check(n_zones=(n_zones, 3), area_size=(area_size, None))
-    xy = np.random.RandomState(seed).uniform(0, area_size, size=(n_zones, 2))
+    xy = _draw(n_zones, area_size, seed, MAX_TRIANGULATED)
     edges = [(a, b, float(math.dist(xy[a], xy[b]))) for a, b in sorted(delaunay_edges(xy))]
-    return Network(spark.createDataFrame(edges, "src long, dst long, cost double"), _points(spark, n_zones, area_size, seed))
+    return Network(spark.createDataFrame(edges, "src long, dst long, cost double"), _points(spark, xy))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import hopscale as H
 from hopscale.operators.ranking import ranked
-from hopscale.operators.representatives import first_independent_set
-from hopscale.operators.sssp import ShortestPaths
+from hopscale.operators.representatives import first_independent_set, prefixes
+from hopscale.operators.sssp import ShortestPaths, pick_strategy
 from hopscale.scratch import Scratch
 
 
@@ -142,6 +142,47 @@ def test_independent_set_rounds(spark):
     assert one == many
 
 
+def test_prefixes_do_not_follow_the_ids(spark):
+    """On a 100 x 100 lattice whose ids ascend by rows, rounds would follow chains of ids; scans are as many as the pairs need."""
+    n, near = 100, [(i * 100 + j, (i + a) * 100 + j + b) for i in range(100) for j in range(100) for a, b in ((0, 1), (0, 2), (1, 0), (2, 0), (1, 1), (1, -1)) if i + a < 100 and 0 <= j + b < 100]
+    df = spark.createDataFrame([(max(p), min(p)) for p in near], "src long, dst long")
+    smaller = {}
+    for p in near:
+        smaller.setdefault(max(p), []).append(min(p))
+    want = []
+    chosen = set()
+    for z in range(n * n):
+        if chosen.isdisjoint(smaller.get(z, ())):
+            chosen.add(z)
+            want.append(z)
+    reps, scans = prefixes(Scratch(spark), spark.range(n * n).select(F.col("id").alias("zone")), df, "grid", 10_000)
+    assert sorted(r.zone for r in reps.collect()) == want and scans <= 2 * len(near) / 10_000 + 1
+
+
+def test_searches_that_settle(spark):
+    """Long paths: entries far behind the front are settled and still found."""
+    edges = [(k, k + 1, float(1 + k % 3)) for k in range(40)] + [(0, 40, 90.0), (5, 30, 4.0)]
+    n = H.Network(spark.createDataFrame(edges, "src long, dst long, cost double"))
+    src = spark.createDataFrame([(0,), (17,)], "src long")
+    assert sorted(map(tuple, ShortestPaths(n, "dataframe").search(src).collect())) == sorted(map(tuple, ShortestPaths(n, "broadcast").search(src).collect()))
+
+
+def test_broadcast_is_bounded():
+    assert pick_strategy("auto", 3_000_000) == "dataframe" and pick_strategy("broadcast", 100) == "broadcast"
+    with pytest.raises(ValueError, match="broadcast"):
+        pick_strategy("broadcast", 3_000_000)
+
+
+def test_a_group_that_does_not_nest(spark):
+    h = make(spark, [(0, 1, 10.0), (1, 2, 15.0), (2, 3, 20.0)], base_radius=10)
+    # zones 0 and 1 share a group on layer 1, and not on layer 2
+    rows = [(0, z, z) for z in range(4)] + [(1, 0, 0), (1, 1, 0), (1, 2, 2), (1, 3, 3), (2, 0, 0), (2, 1, 2), (2, 2, 2), (2, 3, 3)]
+    h.groups = spark.createDataFrame(rows, "layer int, zone long, rep long")
+    assert [tuple(r) for r in h.nesting_violations().collect()] == [(1, 0, 2, 2)]
+    ok, words = h.verify_group_nesting()
+    assert not ok and len(words) == 1 and "group 0" in words[0]
+
+
 @pytest.mark.parametrize(("overlap", "low", "high"), [(1.5, 0.0545, 0.055), (3.0, 0.0056, 0.0058)])
 def test_accuracy(spark, overlap, low, high):
     h = H.Hierarchy(H.generate_grid_network(spark, 10, 10), base_radius=3000, overlap_factor=overlap)

@@ -35,6 +35,50 @@ def test_round_trip(spark, ih, tmp_path):
         H.load_interaction(spark, str(tmp_path / "h"))
 
 
+def test_single_file(spark, ih, tmp_path):
+    a = np.arange(25.0)
+    path = ih.save(str(tmp_path / "one"), backend="npz", include_network=True, interaction_fn_hint="inverse")
+    assert path.endswith(".npz")
+    # found by content, whatever the name
+    (tmp_path / "one.npz").rename(tmp_path / "renamed.bin")
+    back = H.load_interaction(spark, str(tmp_path / "renamed.bin"))
+    assert np.allclose(back.matvec(a), ih.matvec(a), rtol=1e-12) and back.hierarchy.network.n_edges == 40
+    key = lambda x: {(r.layer, r.src, r.dst): (r.value, r.correction, r.net) for r in x.interactions.collect()}
+    assert all(np.allclose([v or 0 for v in key(back)[k]], [v or 0 for v in key(ih)[k]], rtol=1e-14) for k in key(ih)) and len(key(back)) == len(key(ih))
+    assert {k for k, v in key(back).items() if v[1] is None} == {k for k, v in key(ih).items() if v[1] is None}
+    assert H.load_hierarchy(spark, str(tmp_path / "renamed.bin")).get_layer_info() == ih.hierarchy.get_layer_info()
+    with np.load(tmp_path / "renamed.bin") as f:
+        assert f["zone_x"].tolist() == [1000.0 * (k // 5) for k in range(25)] and f["_meta_interaction_fn_hint"].item() == "inverse"
+    plain = ih.hierarchy.save(str(tmp_path / "h"), backend="npz")
+    with pytest.raises(H.StorageError, match="not an InteractionHierarchy"):
+        H.load_interaction(spark, plain)
+    for name, content in (("hdf", b"\x89HDF\r\n\x1a\n" + bytes(50)), ("text", b"no archive"), ("zip", b"PK\x03\x04 broken")):
+        (tmp_path / name).write_bytes(content)
+        with pytest.raises(H.StorageError):
+            H.load_hierarchy(spark, str(tmp_path / name))
+
+
+def test_other_inputs(spark):
+    """Networks from arrays and compressed rows; numpy's integers as zones."""
+    src, dst, cost = [0, 1, 2], np.array([1, 2, 3]), [10.0, 15.0, 20.0]
+    one = H.Network.from_arrays(spark, src, dst, cost, node_ids=[0, 1, 2, 3, 9])
+    assert one.n_edges == 3 and one.n_nodes == 5
+    two = H.Network.from_csr(spark, [0, 1, 3, 5, 6], [1, 0, 2, 1, 3, 2], [10, 10, 15, 15, 20, 20])
+    assert sorted(map(tuple, two.edges.collect())) == sorted(map(tuple, one.edges.collect()))
+    for zones in (np.array([0, 3]), [np.int64(0), np.int32(3)]):
+        h = H.Hierarchy(two, base_radius=np.float64(50), overlap_factor=2, zones=zones)
+        assert h.n_zones == 2 and h.get_cost(np.int64(0), np.int64(3)) == 45
+    with pytest.raises(TypeError, match="integers"):
+        H.Network.from_arrays(spark, ["a"], ["b"], [1.0])
+
+
+def test_bounds(spark):
+    with pytest.raises(ValueError, match="at most"):
+        H.generate_transport_network(spark, 60_000)
+    with pytest.raises(ValueError, match="at most"):
+        H.generate_large_spatial_network(spark, 10**9)
+
+
 def test_storage_errors(spark, ih, tmp_path):
     with pytest.raises(FileNotFoundError):
         H.load_hierarchy(spark, str(tmp_path / "none"))
