@@ -116,10 +116,12 @@ class Hierarchy:
         reps = [self.zones.select("zone")]
         costs = [self._costs_between(reps[0], cutoffs[0], "costs0")]
         steps: list[DataFrame] = []
+        left = self.n_zones
         for k in range(1, len(radii)):
             near = costs[-1].where((F.col("src") != F.col("dst")) & (F.col("cost") < radii[k] / 2))
-            chosen = first_independent_set(self._tmp, reps[-1], near, f"layer{k}")
-            if k > 1 and chosen.count() < self.min_representatives:
+            chosen, n_lost = first_independent_set(self._tmp, reps[-1], near, f"layer{k}")
+            left -= n_lost
+            if k > 1 and left < self.min_representatives:
                 radii, cutoffs = radii[:k], [*cutoffs[: k - 1], None]
                 costs[-1] = self._costs_between(reps[-1], None, f"costs{k - 1}_all")
                 break
@@ -131,12 +133,13 @@ class Hierarchy:
         every = ranked(self._tmp, reduce(DataFrame.unionByName, [r.select(F.lit(k).alias("layer"), "zone") for k, r in enumerate(reps)]), ["layer", "zone"], "rep_ranges")
         first = every.groupBy("layer").agg(F.min("rank").alias("first"))
         self.reps = self._tmp.put(every.join(first, "layer").select("layer", "zone", (F.col("rank") - F.col("first")).cast("int").alias("rep_idx")), "reps")
-        # rep_k(z) = g_k(rep_{k-1}(z))
-        chain = [self.zones.select("zone", F.col("zone").alias("rep"))]
+        # rep_k(z) = g_k(rep_{k-1}(z)): one row a zone, one join a layer, one plan
+        chains = self.zones.select("zone", F.col("zone").alias("r0"))
         for k, g in enumerate(steps):
-            to = g.select(F.col("zone").alias("rep"), F.col("rep").alias("up"))
-            chain.append(self._tmp.put(chain[-1].join(to, "rep").select("zone", F.col("up").alias("rep")), f"chain{k}"))
-        self.groups = self._tmp.put(reduce(DataFrame.unionByName, [c.select(F.lit(k).alias("layer"), "zone", "rep") for k, c in enumerate(chain)]), "groups")
+            chains = chains.join(g.select(F.col("zone").alias(f"r{k}"), F.col("rep").alias(f"r{k + 1}")), f"r{k}")
+        self._chains = self._tmp.put(chains.select("zone", *[f"r{k}" for k in range(len(reps))]), "chains")
+        every_rep = F.posexplode(F.array(*[f"r{k}" for k in range(len(reps))])).alias("layer", "rep")
+        self.groups = self._tmp.put(self._chains.select("zone", every_rep).select("layer", "zone", "rep"), "groups")
         self.costs = self._fill_gaps(reduce(DataFrame.unionByName, [c.select(F.lit(k).alias("layer"), "src", "dst", "cost") for k, c in enumerate(costs)]))
 
     def _set_layers(self) -> None:

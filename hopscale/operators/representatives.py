@@ -33,22 +33,23 @@ def _lost(pairs, before: int | None = None) -> list[int]:
 
 
 def first_independent_set(tmp: Scratch, zones: DataFrame, near: DataFrame, name: str, max_driver_pairs: int = MAX_DRIVER_PAIRS) -> DataFrame:
-    """zones (zone), near (src, dst) in both directions -> (zone)."""
+    """zones (zone), near (src, dst) in both directions -> the set (zone), and how many zones it leaves out."""
     down = near.where("dst < src").select("src", "dst")
     some = down.limit(max_driver_pairs + 1).toArrow()
     if some.num_rows <= max_driver_pairs:
-        lost = zones.sparkSession.createDataFrame([(s,) for s in _lost(some)], "zone long")
-        return tmp.put(zones.join(lost, "zone", "left_anti"), f"{name}_reps")
-    return prefixes(tmp, zones, down, name, max_driver_pairs)[0]
+        gone = _lost(some)
+        lost = zones.sparkSession.createDataFrame([(s,) for s in gone], "zone long")
+        return tmp.put(zones.join(lost, "zone", "left_anti"), f"{name}_reps"), len(gone)
+    return prefixes(tmp, zones, down, name, max_driver_pairs)[:2]
 
 
-def prefixes(tmp: Scratch, zones: DataFrame, down: DataFrame, name: str, limit: int) -> tuple[DataFrame, int]:
-    """(the independent set, number of scans); a scan takes up to `limit` pairs, or all of one zone if it alone has more."""
+def prefixes(tmp: Scratch, zones: DataFrame, down: DataFrame, name: str, limit: int) -> tuple[DataFrame, int, int]:
+    """(the independent set, number of zones left out, number of scans); a scan takes up to `limit` pairs, or all of one zone if it alone has more."""
     down = tmp.put(down.repartitionByRange("src").sortWithinPartitions("src"), f"{name}_near")
     total = down.count()
     parts = math.ceil(2 * total / limit)
     cuts = down.agg(F.percentile_approx("src", [k / parts for k in range(1, parts)], max(10_000, 20 * parts)).alias("c")).first().c if parts > 1 else []
-    lost, k = None, 0
+    lost, n_lost, k = None, 0, 0
     # of a range of ids, pairs with a zone that lost before do not matter
     bounds = [None, *sorted(set(cuts)), None]
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
@@ -61,11 +62,12 @@ def prefixes(tmp: Scratch, zones: DataFrame, down: DataFrame, name: str, limit:
             own = own.join(small(lost.withColumnRenamed("zone", "dst")), "dst", "left_anti").select("src", "dst")
         k += 1
         gone = _lost(own.toArrow(), None if low is None else low + 1)
+        n_lost += len(gone)
         zones.sparkSession.createDataFrame([(s,) for s in gone], "zone long").write.mode("append").parquet(f"{tmp.path}/{name}_lost")
         lost = zones.sparkSession.read.schema("zone long").parquet(f"{tmp.path}/{name}_lost")
     reps = tmp.put(zones.join(lost, "zone", "left_anti") if lost is not None else zones, f"{name}_reps")
     tmp.drop(f"{name}_near", f"{name}_lost", free=False)
-    return reps, k
+    return reps, n_lost, k
 
 
 def assign(zones: DataFrame, reps: DataFrame, near: DataFrame) -> DataFrame:
