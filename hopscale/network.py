@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType
 
 
+def edge_faults(edges: DataFrame) -> DataFrame:
+    """One row on edges (src, dst, cost): edges; pairs of nodes that have several (twice); costs that are missing (none) or not finite and positive or 0 (bad, worst); pairs without an end (open)."""
+    c, low, high = F.col("cost"), F.least("src", "dst"), F.greatest("src", "dst")
+    bad = c.isNotNull() & (F.isnan(c) | (c < 0) | (c == float("inf")))
+    ends = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    # one row for each pair: more than one edge between two nodes shows as a count
+    pairs = edges.groupBy(F.when(ends, low).alias("a"), F.when(ends, high).alias("z")).agg(F.count("*").alias("n"), F.count_if(c.isNull()).alias("none"), F.count_if(bad).alias("bad"), F.max(F.when(bad, c)).alias("worst"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    return pairs.agg(total("n").alias("edges"), F.count_if((F.col("n") > 1) & F.col("a").isNotNull()).alias("twice"), total("none").alias("none"), total("bad").alias("bad"), F.max("worst").alias("worst"), F.count_if(F.col("a").isNull()).alias("open"))
+
+
 class Network:
     """nodes (node_id, x?, y?) and edges (src, dst, cost), one row for each undirected edge.
 
@@ -59,11 +70,7 @@ class Network:
         return cls.from_arrays(spark, ids[src[up]], ids[dst[up]], np.asarray(data, np.float64)[up], ids)
 
     def _check(self) -> int:
-        c = F.col("cost")
-        bad = c.isNotNull() & (F.isnan(c) | (c < 0) | (c == float("inf")))
-        # one row for each pair: more than one edge between two nodes shows as a count
-        pairs = self.edges.groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_if(c.isNull()).alias("none"), F.count_if(bad).alias("bad"), F.max(F.when(bad, c)).alias("worst"))
-        r = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 1).alias("twice"), F.sum("none").alias("none"), F.sum("bad").alias("bad"), F.max("worst").alias("worst"), F.count_if(F.col("src").isNull() | F.col("dst").isNull()).alias("open")).first()
+        r = edge_faults(self.edges).first()
         if r.open:
             raise TypeError("node ids must be integers, got null")
         if r.twice:
@@ -72,9 +79,9 @@ class Network:
             raise ValueError(f"{r.none} edges are missing a 'cost'")
         if r.bad:
             raise ValueError(f"invalid cost {r.worst} ({r.bad} edges): costs must be finite and not negative")
-        if not r.n and self.nodes.isEmpty():
+        if not r.edges and self.nodes.isEmpty():
             raise ValueError("the network is empty")
-        return r.n
+        return r.edges
 
     @property
     def adjacency(self) -> DataFrame:

@@ -33,6 +33,23 @@ def _whole(x) -> bool:
     return isinstance(x, Integral) and not isinstance(x, bool)
 
 
+def extent(paths: ShortestPaths, zones: DataFrame, n_zones: int) -> float:
+    """The largest cost from some ten zones, taken at equal steps, to any node. zones (zone, zone_idx?)."""
+    step = max(1, n_zones // min(10, n_zones))
+    if "zone_idx" not in zones.columns:
+        zones = ranked(Scratch(zones.sparkSession), zones, ["zone"], "zone_ranges").withColumnRenamed("rank", "zone_idx")
+    some = zones.where(F.col("zone_idx") % step == 0).select(F.col("zone").alias("src"))
+    return paths.search(some).agg(F.max("cost")).first()[0] or 0.0
+
+
+def violations(groups: DataFrame) -> DataFrame:
+    """groups (layer, zone, rep) -> (layer, rep, coarse_layer, n): groups of a layer that a coarser layer splits into n."""
+    fine = groups.select("layer", "zone", "rep")
+    coarse = groups.select(F.col("layer").alias("coarse_layer"), "zone", F.col("rep").alias("coarse_rep"))
+    both = fine.join(coarse, "zone").where("coarse_layer > layer")
+    return both.groupBy("layer", "rep", "coarse_layer").agg(F.count_distinct("coarse_rep").alias("n")).where("n > 1")
+
+
 class Hierarchy:
     """Build with a network, or from stored tables with `from_tables`.
 
@@ -90,13 +107,8 @@ class Hierarchy:
 
     # -- build -----------------------------------------------------------------------------------
 
-    def _extent(self) -> float:
-        step = max(1, self.n_zones // min(10, self.n_zones))
-        some = self.zones.where(F.col("zone_idx") % step == 0).select(F.col("zone").alias("src"))
-        return self._paths.search(some).agg(F.max("cost")).first()[0] or 0.0
-
     def _radii(self) -> list[float]:
-        reach = 1.5 * (self._extent() or 10.0 * self.base_radius)
+        reach = 1.5 * (extent(self._paths, self.zones, self.n_zones) or 10.0 * self.base_radius)
         out: list[float] = []
         while (r := float(self.base_radius) * float(self.increase_factor) ** len(out)) < reach or len(out) < 2:
             out.append(r)
@@ -241,10 +253,7 @@ class Hierarchy:
 
     def nesting_violations(self) -> DataFrame:
         """(layer, rep, coarse_layer, n): groups of a layer that a coarser layer splits into n."""
-        fine = self.groups.select("layer", "zone", "rep")
-        coarse = self.groups.select(F.col("layer").alias("coarse_layer"), "zone", F.col("rep").alias("coarse_rep"))
-        both = fine.join(coarse, "zone").where("coarse_layer > layer")
-        return both.groupBy("layer", "rep", "coarse_layer").agg(F.count_distinct("coarse_rep").alias("n")).where("n > 1")
+        return violations(self.groups)
 
     def verify_group_nesting(self) -> tuple[bool, list[str]]:
         """Whether groups nest, and a sentence for each violation. For more than a driver can hold, read nesting_violations."""

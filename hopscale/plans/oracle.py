@@ -84,8 +84,15 @@ ORACLES = {
     "range_join_edges": "WITH t AS (SELECT c_custkey AS id, c_acctbal AS x, CAST(c_custkey * 7 % 10007 AS DOUBLE) AS y FROM customer) SELECT a.id AS src, b.id AS dst, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS cost FROM t AS a JOIN t AS b ON a.id < b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 22500",
     "sssp_single": _sql("SELECT src, dst, cost FROM sp WHERE src = 0", PATHS),
     "sssp_cutoff": _sql("SELECT src, dst, cost FROM sp WHERE cost <= 4500", PATHS),
-    "sssp_rounds": _sql("SELECT src, dst, cost FROM sp WHERE cost <= 6000 AND src % 10 = 0", PATHS),
-    "sssp_rounds_all": _sql("SELECT src, dst, cost FROM sp WHERE cost <= 6000", PATHS),
+    "edge_problems": _sql(
+        "SELECT CAST(count(*) AS BIGINT) + (SELECT count(*) FROM e WHERE src % 5 = 0) AS edges, (SELECT count(*) FROM e WHERE src % 5 = 0) AS twice, count(*) FILTER (src % 7 = 0) AS none, count(*) FILTER (src % 7 IN (1, 2, 3)) AS bad, CAST(0 AS BIGINT) AS open FROM e"
+    ),
+    "components_cut": _sql(
+        "SELECT n AS node, min(m) AS root FROM lab GROUP BY n",
+        "cheap AS (SELECT src, dst FROM a WHERE cost < 1300)",
+        "lab(n, m) AS (SELECT src, src FROM cheap UNION SELECT lab.n, cheap.dst FROM lab JOIN cheap ON cheap.src = lab.m)",
+    ),
+    "sssp_rounds": _sql("SELECT src, dst, cost FROM sp WHERE cost <= 6000", PATHS),
     "dense_cost": _sql("SELECT every.src, every.dst, coalesce(cost, CAST('inf' AS DOUBLE)) AS cost FROM every LEFT JOIN sp ON sp.src = every.src AND sp.dst = every.dst AND cost <= 9000", PATHS, EVERY),
     "network_extent": _sql("SELECT extent FROM ext", *ALL),
     "layer_radii": _sql("SELECT layer, CAST(radius AS DOUBLE) AS radius, CAST(cutoff AS DOUBLE) AS cutoff FROM layers", *ALL),
@@ -95,14 +102,32 @@ ORACLES = {
     "layer_info": _sql("SELECT layer, CAST(radius AS DOUBLE) AS radius, (SELECT count(*) FROM reps WHERE reps.layer = layers.layer) AS n_representatives, CAST(cutoff AS DOUBLE) AS cutoff, (SELECT count(*) FROM costs WHERE costs.layer = layers.layer) AS n_costs FROM layers", *ALL),
     "densities": _sql("SELECT (SELECT count(*) FROM costs) / n ** 2 AS density, (SELECT count(*) FROM costs WHERE layer = 0) / n ** 2 AS finest, (SELECT count(*) FROM costs) / n ** 2 AS interaction FROM p", *ALL),
     "nesting_check": _sql("SELECT f.layer, f.rep, c.layer AS coarse_layer, count(DISTINCT c.rep) AS n FROM groups AS f JOIN groups AS c ON c.zone = f.zone AND c.layer > f.layer GROUP BY ALL HAVING n > 1", *ALL),
+    "nesting_broken": _sql(
+        "SELECT f.layer, f.rep, c.layer AS coarse_layer, count(DISTINCT c.rep) AS n FROM wrong AS f JOIN wrong AS c ON c.zone = f.zone AND c.layer > f.layer GROUP BY ALL HAVING n > 1",
+        *ALL,
+        "wrong AS (SELECT layer, zone, CASE WHEN layer = final.k - 1 AND zone % 3 = 0 THEN zone ELSE rep END AS rep FROM groups, final)",
+    ),
+    "nodes_explored": _sql(
+        "SELECT CAST((SELECT count(*) FROM tried JOIN reps0 AS x ON x.layer = tried.layer JOIN sp ON sp.src = x.zone WHERE cutoff IS NULL OR sp.cost <= cutoff) + (SELECT count(*) FROM filled JOIN sp ON sp.src = filled.src WHERE sp.cost <= reach) AS BIGINT) AS explored",
+        *ALL,
+        "reps0 AS (" + " UNION ALL ".join(f"SELECT {k} AS layer, zone FROM r{k}" for k in range(LAYERS)) + ")",
+        # every layer that was kept with the cutoff it was built with, and the coarsest once more if a smaller one was dropped
+        "tried AS (SELECT layer, CASE WHEN layer = nl.n - 1 THEN NULL ELSE 1.5 * radius END AS cutoff FROM rad, nl, final WHERE layer < final.k UNION ALL SELECT final.k - 1, NULL FROM final, nl WHERE final.k < nl.n)",
+        # searches for gaps start at every representative that lacks a pair, also one out of reach
+        "lacking AS (SELECT DISTINCT x.layer, x.zone AS src, layers.radius AS reach FROM reps AS x JOIN reps AS y ON x.layer = y.layer AND x.zone <> y.zone JOIN groups AS gx ON gx.layer = x.layer + 1 AND gx.zone = x.zone JOIN groups AS gy ON gy.layer = x.layer + 1 AND gy.zone = y.zone AND gy.rep = gx.rep JOIN layers ON layers.layer = x.layer + 1 WHERE NOT EXISTS (FROM stored WHERE stored.layer = x.layer AND stored.src = x.zone AND stored.dst = y.zone))",
+        "filled AS (SELECT src, reach FROM lacking)",
+    ),
     "gap_fill_pairs": _sql("SELECT layer, src, dst, cost FROM gaps", *ALL),
-    "get_cost_pairs": _sql("SELECT x.zone AS src, y.zone AS dst, coalesce(cost, CAST('inf' AS DOUBLE)) AS cost, layer FROM z AS x CROSS JOIN z AS y LEFT JOIN found ON found.src = x.zone AND found.dst = y.zone WHERE x.zone % 3 = 0", *ALL, FOUND),
-    "get_cost_all_pairs": _sql("SELECT x.zone AS src, y.zone AS dst, coalesce(cost, CAST('inf' AS DOUBLE)) AS cost, layer FROM z AS x CROSS JOIN z AS y LEFT JOIN found ON found.src = x.zone AND found.dst = y.zone", *ALL, FOUND),
-    "zone_subset_costs": _sql("SELECT layer, src, dst, cost FROM costs WHERE layer = 0", PATHS, _hierarchy("SELECT k AS zone FROM s WHERE k % 2 = 0")),
-    "zone_subset_layers": _sql("SELECT layer, src, dst, cost FROM costs", PATHS, _hierarchy("SELECT k AS zone FROM s WHERE k % 2 = 0")),
-    "decay_power": _sql("SELECT src, dst, round(2.0 * pow(1000 + cost, -1.5), 12) AS value FROM costs WHERE layer = 0", *ALL),
-    "decay_exponential": _sql("SELECT src, dst, round(exp(-0.0005 * cost), 12) AS value FROM costs WHERE layer = 0", *ALL),
+    "get_cost_pairs": _sql("SELECT x.zone AS src, y.zone AS dst, coalesce(cost, CAST('inf' AS DOUBLE)) AS cost, layer FROM z AS x CROSS JOIN z AS y LEFT JOIN found ON found.src = x.zone AND found.dst = y.zone ", *ALL, FOUND),
+    "zone_subset_costs": _sql("SELECT layer, src, dst, cost FROM costs", PATHS, _hierarchy("SELECT k AS zone FROM s WHERE k % 2 = 0")),
+    "decay_power": _sql("SELECT layer, src, dst, round(2.0 * pow(1000 + cost, -1.5), 12) AS value FROM costs", *ALL),
+    "decay_exponential": _sql("SELECT layer, src, dst, round(exp(-0.0005 * cost), 12) AS value FROM costs", *ALL),
     "net_operator": _sql("SELECT layer, src, dst, round(value, 12) AS value, round(correction, 12) AS correction, round(value - coalesce(correction, 0), 12) AS net FROM vals LEFT JOIN corr USING (layer, src, dst)", *ALL, VALUES),
+    "without_self": _sql(
+        "SELECT layer, src, dst, round(value, 12) AS value, round(correction, 12) AS correction, round(value - coalesce(correction, 0), 12) AS net FROM vals LEFT JOIN corr USING (layer, src, dst) WHERE NOT (layer = 0 AND src = dst)",
+        *ALL,
+        VALUES,
+    ),
     "interaction_info": _sql("SELECT layer, CAST(radius AS DOUBLE) AS radius, (SELECT count(*) FROM reps WHERE reps.layer = layers.layer) AS n_representatives, (SELECT count(*) FROM vals WHERE vals.layer = layers.layer) AS n_interactions, (SELECT count(*) FROM corr WHERE corr.layer = layers.layer) AS n_corrections FROM layers", *ALL, VALUES),
     "accessibility": _sql("SELECT zone, value FROM acc", *ALL, FOUND, ACT, ACC),
     "accessibility_multi": _sql(
@@ -116,5 +141,11 @@ ORACLES = {
     "accessibility_stats": _sql("SELECT round(max(value), 4) AS high, round(min(value), 4) AS low, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS spread, arg_max(zone, (value, -zone)) AS best FROM acc", *ALL, FOUND, ACT, ACC),
     "dense_accessibility": _sql("SELECT zone, value FROM dens", PATHS, ACT, DENSE),
     "approx_error": _sql("SELECT round(avg(abs(acc.value - dens.value) / dens.value), 6) AS mean_relative_error FROM acc JOIN dens USING (zone)", *ALL, FOUND, ACT, ACC, DENSE),
+    "accessibility_transposed": _sql("SELECT zone, value FROM acc", *ALL, FOUND, ACT, ACC),
+    "stored_hierarchy": _sql("SELECT layer, src, dst, cost FROM costs", *ALL),
+    "stored_network": _sql("SELECT k AS node_id, count(a.dst) AS degree FROM s LEFT JOIN a ON a.src = s.k GROUP BY k"),
+    "stored_coordinates": "SELECT s_suppkey AS zone, CAST(s_suppkey * 10 AS DOUBLE) AS x, CAST(s_suppkey + 0.5 AS DOUBLE) AS y FROM supplier WHERE s_suppkey % 2 = 0",
+    "stored_single_file": _sql("SELECT zone, value FROM acc", *ALL, FOUND, ACT, ACC),
+    "generated_facts": "SELECT * FROM (VALUES ('random', CAST(150 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT), true), ('large', 500, 1, 0, true), ('transport', 300, 1, 0, true)) AS t(name, n_nodes, n_components, n_wrong, complete)",
     "parquet_roundtrip": _sql("SELECT zone, value FROM acc", *ALL, FOUND, ACT, ACC),
 }
