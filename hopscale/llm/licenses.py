@@ -17,6 +17,7 @@ number, so a file's cost grows with its own hits and not with the size of the li
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -99,22 +100,21 @@ def scan(docs: DataFrame, *, text: str = "text", templates: tuple[Template, ...]
     slots: list[list[str]] = [[] for _ in range(1 << (2 * len(postings)).bit_length())]
     for w in postings:
         slots[xxhash.xxh64_intdigest(w.encode(), 42) % len(slots)].append(w)
-    entry = lambda w: F.struct(F.lit(w).alias("w"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]).alias("ps"))
-    nothing = F.array().cast("array<struct<w:string,ps:array<struct<t:int,p:int>>>>")
-    index = F.array(*[F.array(*map(entry, slot)) if slot else nothing for slot in slots])
+    # constants as one literal each, which Spark folds, instead of thousands of expressions
+    const = lambda xs, kind: F.from_json(F.lit(json.dumps(xs)), f"array<{kind}>")
+    index = const([[{"w": w, "ps": [{"t": t, "p": p} for t, p in postings[w]]} for w in slot] for slot in slots], "array<struct<w:string,ps:array<struct<t:int,p:int>>>>")
     looked_up = lambda w: F.get(F.filter(F.get(index, F.xxhash64(w).bitwiseAND(F.lit(len(slots) - 1)).cast("int")), lambda x: x["w"] == w), F.lit(0))["ps"]
-    need_of = F.array(*map(F.lit, need))
-    total_of = F.array(*[F.lit(float(sum(t == n for ps in postings.values() for t, _ in ps))) for n in range(len(every))])
+    need_of = const(need, "int")
+    total_of = const([float(sum(t == n for ps in postings.values() for t, _ in ps)) for n in range(len(every))], "double")
     sizes = [len(_words(t.text)) for t in every]
     keys = [tuple(" ".join(_words(k)) for k in t.keys) or (" ".join(_words(t.text)),) for t in every]
-    const = lambda xs: F.array(*map(F.lit, xs))
-    keys_of = F.array(*[const([f" {k} " for k in ks]) for ks in keys])
+    keys_of = const([[f" {k} " for k in ks] for ks in keys], "array<string>")
 
     words = F.array_remove(F.split(lower_ascii(whole(text)), OTHER, -1), "")
     rare = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(*postings), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
     hits = lambda found: F.array_sort(F.flatten(F.transform(found, lambda x: F.transform(looked_up(x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at"), q["p"].alias("p"))))))
 
-    slack_of = const([0 if t.base else SLACK for t in every])
+    slack_of = const([0 if t.base else SLACK for t in every], "int")
 
     def window(h: Column, i: Column) -> Column:
         """Hits from i on that agree with hit i within the template's slack; h is sorted, so they follow one another."""
@@ -148,7 +148,7 @@ def scan(docs: DataFrame, *, text: str = "text", templates: tuple[Template, ...]
         return F.array_sort(F.transform(kept, lambda c: F.struct(c["t"].alias("t"), c["at"].alias("at"), c["n"].alias("n"))))
 
     def verified(w: Column, c: Column) -> Column:
-        n, slack = F.get(const(sizes), c["t"]), F.get(slack_of, c["t"])
+        n, slack = F.get(const(sizes, "int"), c["t"]), F.get(slack_of, c["t"])
         start = F.greatest(c["at"] - slack, F.lit(0))
         span = F.concat(F.lit(" "), F.array_join(F.slice(w, start + 1, F.greatest(c["at"] + n + slack - start, F.lit(0))), " "), F.lit(" "))
 
@@ -157,7 +157,7 @@ def scan(docs: DataFrame, *, text: str = "text", templates: tuple[Template, ...]
     def places(w: Column, h: Column) -> Column:
         share = lambda c: F.least(F.lit(1.0), c["n"] / F.get(total_of, c["t"]))
         good = let(F.filter(agreed(h), lambda c: verified(w, c)), apart)
-        return F.transform(good, lambda c: F.struct(F.get(const([t.label for t in every]), c["t"]).alias("label"), c["at"].alias("word"), share(c).alias("score"), F.get(const([t.base for t in every]), c["t"]).alias("base"), c["t"].alias("template")))
+        return F.transform(good, lambda c: F.struct(F.get(const([t.label for t in every], "string"), c["t"]).alias("label"), c["at"].alias("word"), share(c).alias("score"), F.get(const([t.base for t in every], "boolean"), c["t"]).alias("base"), c["t"].alias("template")))
 
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), words.alias("_w"))
     d = d.withColumn("_rare", rare)

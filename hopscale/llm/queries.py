@@ -33,6 +33,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2_license_scan finds by its base phrases alone."""
+    return op2_license_scan(spark, sf_dir).drop("labels", "score")
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return suffixes.remove_repeats(docs).drop("runs")
@@ -109,6 +114,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
     "op10_site_quality": op10_site_quality,
+    "license_phrases": license_phrases,
 }
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -206,3 +212,60 @@ WITH i AS (
 SELECT doc_id, item_id, any_value(array_to_string(same_items, ',')) AS same_items, any_value(CAST(len(gs) AS BIGINT)) AS n_shingles, max(n) AS n_found, max(n / len(gs)) AS containment
 FROM hits JOIN classes USING (item_id) WHERE n >= 0.8 * len(gs) GROUP BY doc_id, item_id
 """
+
+_PHRASES = {t.label: t.text.split() for t in licenses.BASE}
+_AT = " OR ".join("(label = '{}' AND {})".format(label, " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))) for label, words in _PHRASES.items())
+
+ORACLES["license_phrases"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_OTHER}'), lambda x: x <> '') AS w
+  FROM documents
+), hits AS (
+  SELECT rid, i, label FROM d, unnest(range(1, len(w) + 1)) AS r(i), (VALUES {", ".join(f"('{x}')" for x in _PHRASES)}) AS p(label) WHERE {_AT}
+), h AS (
+  SELECT rid, count(*) AS n, min(i) - 1 AS first, max(i) - 1 AS last, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM hits GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN h USING (rid)
+"""
+
+ORACLES["op3_repeats"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, CAST(encode(coalesce(text, '')) AS BLOB) AS t FROM documents
+), w AS (
+  SELECT rid, doc_id, i, t[i:i + {suffixes.LENGTH - 1}] AS g FROM d, unnest(range(1, octet_length(t) - {suffixes.LENGTH - 2})) AS r(i) WHERE doc_id IS NOT NULL
+), first AS (
+  SELECT g, min(doc_id) AS low FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT rid, i FROM w JOIN first USING (g) WHERE doc_id > low
+), marked AS (
+  SELECT rid, i, i > coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i) + {suffixes.LENGTH}, 0) AS new FROM gone
+), runs AS (
+  SELECT rid, min(i) AS a, max(i) + {suffixes.LENGTH} AS z FROM (SELECT rid, i, sum(CAST(new AS INT)) OVER (PARTITION BY rid ORDER BY i) AS k FROM marked) GROUP BY rid, k
+), pieces AS (
+  SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 1) AS p, a AS q FROM runs
+  UNION ALL SELECT rid, max(z), 4000000000 FROM runs GROUP BY rid
+), kept AS (
+  SELECT rid, sha256(unhex(string_agg(hex(t[p:q - 1]), '' ORDER BY p))) AS h FROM pieces JOIN d USING (rid) GROUP BY rid
+), sums AS (
+  SELECT rid, sum(z - a) AS n, count(*) AS k FROM runs GROUP BY rid
+)
+SELECT doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans, coalesce(h, sha256(t)) AS kept_sha256
+FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+# five hex digits are four digits of base 32
+_DIGEST = " || ".join(f"substr('{_B32}', CAST((CAST('0x' || substr(h, {k}, 5) AS INT) >> {bit}) & 31 AS INT) + 1, 1)" for k in range(1, 41, 5) for bit in (15, 10, 5, 0))
+
+ORACLES["op9_warc"] = f"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY t) AS low FROM p
+)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_DIGEST} AS payload_digest,
+       CASE WHEN page_id > low THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > low THEN low END AS refers_to, url, true AS digest_ok
+FROM f
+"""
