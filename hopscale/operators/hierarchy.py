@@ -13,17 +13,22 @@ from functools import cached_property, reduce
 from numbers import Integral, Real
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from hopscale.network import Network
 from hopscale.operators.ranking import ranked
-from hopscale.operators.representatives import assign, first_independent_set
+from hopscale.operators.representatives import assign, first_independent_set, scan
 from hopscale.operators.sssp import ShortestPaths, pick_strategy
 from hopscale.scratch import SMALL_BYTES, Scratch, small
 
 
+#: Most zones whose ids the driver keeps while it builds.
+DRIVER_ZONES = 100_000
+
+
 def _number(x) -> bool:
     """Python's and numpy's numbers, but no truth values."""
     return isinstance(x, Real) and not isinstance(x, bool) and math.isfinite(x)
@@ -129,10 +134,17 @@ class Hierarchy:
         costs = [self._costs_between(reps[0], cutoffs[0], "costs0")]
         steps: list[DataFrame] = []
         left = self.n_zones
+        # of few zones the driver keeps the representatives, which saves a table and several jobs a layer
+        ids = [np.sort(self.zones.select("zone").toArrow().column(0).to_numpy())] if left <= DRIVER_ZONES else None
         for k in range(1, len(radii)):
             near = costs[-1].where((F.col("src") != F.col("dst")) & (F.col("cost") < radii[k] / 2))
-            chosen, n_lost = first_independent_set(self._tmp, reps[-1], near, f"layer{k}")
-            left -= n_lost
+            if ids is not None and (lost := scan(near.where("dst < src").select("src", "dst"))) is not None:
+                ids.append(np.setdiff1d(ids[-1], lost, assume_unique=True))
+                chosen, left = self.spark.createDataFrame(pa.table({"zone": ids[-1]})), len(ids[-1])
+            else:
+                ids = None
+                chosen, n_lost = first_independent_set(self._tmp, reps[-1], near, f"layer{k}")
+                left -= n_lost
             if k > 1 and left < self.min_representatives:
                 radii, cutoffs = radii[:k], [*cutoffs[: k - 1], None]
                 costs[-1] = self._costs_between(reps[-1], None, f"costs{k - 1}_all")
@@ -142,9 +154,12 @@ class Hierarchy:
             costs.append(self._costs_between(chosen, cutoffs[k], f"costs{k}"))
         self.radii, self.cutoffs = radii, cutoffs
         self._set_layers()
-        every = ranked(self._tmp, reduce(DataFrame.unionByName, [r.select(F.lit(k).alias("layer"), "zone") for k, r in enumerate(reps)]), ["layer", "zone"], "rep_ranges")
-        first = every.groupBy("layer").agg(F.min("rank").alias("first"))
-        self.reps = self._tmp.put(every.join(first, "layer").select("layer", "zone", (F.col("rank") - F.col("first")).cast("int").alias("rep_idx")), "reps")
+        if ids is not None:
+            ids = ids[: len(reps)]
+            flat = {"layer": np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids]), "zone": np.concatenate(ids), "rep_idx": np.concatenate([np.arange(len(x), dtype=np.int32) for x in ids])}
+            self.reps = self.spark.createDataFrame(pa.table(flat))
+        else:
+            self.reps = self._number(reps)
         # rep_k(z) = g_k(rep_{k-1}(z)): one row a zone, one join a layer, one plan
         chains = self.zones.select("zone", F.col("zone").alias("r0"))
         for k, g in enumerate(steps):
@@ -154,6 +169,12 @@ class Hierarchy:
         self.groups = self._tmp.put(self._chains.select("zone", every_rep).select("layer", "zone", "rep"), "groups")
         self.costs = self._fill_gaps(reduce(DataFrame.unionByName, [c.select(F.lit(k).alias("layer"), "src", "dst", "cost") for k, c in enumerate(costs)]))
 
+    def _number(self, reps: list[DataFrame]) -> DataFrame:
+        """(layer, zone, rep_idx) of all layers."""
+        every = ranked(self._tmp, reduce(DataFrame.unionByName, [r.select(F.lit(k).alias("layer"), "zone") for k, r in enumerate(reps)]), ["layer", "zone"], "rep_ranges")
+        first = every.groupBy("layer").agg(F.min("rank").alias("first"))
+        return self._tmp.put(every.join(first, "layer").select("layer", "zone", (F.col("rank") - F.col("first")).cast("int").alias("rep_idx")), "reps")
+
     def _set_layers(self) -> None:
         rows = list(zip(range(len(self.radii)), self.radii, self.cutoffs, strict=True))
         self.layers = self.spark.createDataFrame(rows, "layer int, radius double, cutoff double")

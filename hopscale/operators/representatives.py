@@ -32,12 +32,17 @@ def _lost(pairs, before: int | None = None) -> list[int]:
     return sorted(out)
 
 
+def scan(down: DataFrame, max_driver_pairs: int = MAX_DRIVER_PAIRS) -> list[int] | None:
+    """Zones that the scan of pairs (src, dst), dst < src, leaves out; null if there are more pairs than the driver takes."""
+    some = down.limit(max_driver_pairs + 1).toArrow()
+    return _lost(some) if some.num_rows <= max_driver_pairs else None
+
+
 def first_independent_set(tmp: Scratch, zones: DataFrame, near: DataFrame, name: str, max_driver_pairs: int = MAX_DRIVER_PAIRS) -> DataFrame:
     """zones (zone), near (src, dst) in both directions -> the set (zone), and how many zones it leaves out."""
     down = near.where("dst < src").select("src", "dst")
-    some = down.limit(max_driver_pairs + 1).toArrow()
-    if some.num_rows <= max_driver_pairs:
-        gone = _lost(some)
+    gone = scan(down, max_driver_pairs)
+    if gone is not None:
         lost = zones.sparkSession.createDataFrame([(s,) for s in gone], "zone long")
         return tmp.put(zones.join(lost, "zone", "left_anti"), f"{name}_reps"), len(gone)
     return prefixes(tmp, zones, down, name, max_driver_pairs)[:2]

@@ -1,5 +1,7 @@
 """The driver's contract."""
 
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -29,3 +31,17 @@ def test_against_sql(spark, name):
     names = [x[0] for x in c.description]
     key = lambda r: tuple((x is not None, round(x, 6) if isinstance(x, float) else x) for x in r)
     assert sorted(map(key, map(tuple, df.select(*names).collect()))) == sorted(map(key, want))
+
+
+@pytest.mark.parametrize("gone", ["hopscale.llm.queries", "corpus_pipeline", "xxhash"])
+def test_optional_parts_may_be_missing(monkeypatch, gone):
+    """Without a part, or what it needs, the other queries are there, and a warning says so."""
+    for name in [n for n in sys.modules if n.startswith(("hopscale.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, gone, None)
+    with pytest.warns(UserWarning, match="left out"):
+        q = entry.queries()
+    assert set(QUERIES) <= set(q)
+    assert ("pipeline" in q) == (sys.modules.get("corpus_pipeline") is not None)
+    for name in [n for n in sys.modules if n.startswith(("hopscale.llm", "corpus_pipeline"))]:
+        del sys.modules[name]
