@@ -13,6 +13,10 @@ its pairs; groups of more than a few thousand fingerprints are searched by flipp
 bits outside the start's segment. Of the 18,472 such differences the budgets leave 11,472, each one binary
 search in the group for every fingerprint. Components come from distributed rounds.
 
+A key that a sample of the fingerprints shows to be shared by more than CROWDED of them is made finer, without
+loss: of the four bytes that it leaves free, three differing bits leave one equal. So a task's group agrees
+in 40 bits, which at most 2 ** 24 fingerprints do, however many documents there are.
+
 One fingerprint finds a near copy only if chance keeps all but 3 bits. `prints` asks for several
 independent ones from the same shingles; documents link if any of their fingerprints do.
 """
@@ -31,10 +35,12 @@ from pyspark.sql import functions as F
 from hopscale.llm import jaccard
 from hopscale.llm.text import free, without
 from hopscale.operators.components import components
-from hopscale.scratch import Scratch
+from hopscale.scratch import Scratch, small
 
 BITS, DISTANCE, SEGMENTS = 64, 3, 4
 PAIRS_UP_TO, _ROWS = 4096, 256
+#: Keys of more fingerprints are made finer; they are found in every _SAMPLED-th fingerprint.
+CROWDED, _SAMPLED = 1 << 20, 64
 _BLOCK = 1 << 15
 
 
@@ -74,20 +80,52 @@ def fingerprints(docs: DataFrame, shingle: int, prints: int = 1, doc_id: str = "
 
 
 KEYS = 20
+#: The pairs of equal bytes that make the five keys of a start, of the bytes of its next two segments.
+_EQUAL = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)]
+
+
+def _segment(fp: Column, j: int) -> Column:
+    return F.shiftrightunsigned(fp, 16 * (j % SEGMENTS)).bitwiseAND(F.lit(0xFFFF))
+
+
+def _byte(fp: Column, j: int, k: int) -> Column:
+    return F.shiftright(_segment(fp, j), 8 * k).bitwiseAND(F.lit(0xFF))
 
 
 def _keys(fp: Column, which: Column) -> Column:
     """array<long> of the 20 keys of fingerprint number `which`; the number of the key is above its 32 bits."""
-    seg = lambda j: F.shiftrightunsigned(fp, 16 * (j % SEGMENTS)).bitwiseAND(F.lit(0xFFFF))
-    byte = lambda j, k: F.shiftright(seg(j), 8 * k).bitwiseAND(F.lit(0xFF))
     out = []
     for i in range(SEGMENTS):
-        parts = [byte(i + 1, 0), byte(i + 1, 1), byte(i + 2, 0), byte(i + 2, 1)]
-        for a, b in [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)]:
-            out.append((which * KEYS + len(out)).cast("long") * F.lit(1 << 32) + F.shiftleft(seg(i), 16) + F.shiftleft(parts[a], 8) + parts[b])
+        parts = [_byte(fp, i + 1 + k // 2, k % 2) for k in range(4)]
+        for a, b in _EQUAL:
+            out.append((which * KEYS + len(out)).cast("long") * F.lit(1 << 32) + F.shiftleft(_segment(fp, i), 16) + F.shiftleft(parts[a], 8) + parts[b])
     return F.array(*out)
 
 
+def _finer(fp: Column, key: Column) -> Column:
+    """array<long> of four keys that stand for one: each adds one of the four bytes that the key leaves free, from bit 48 on."""
+    each = []
+    for i in range(SEGMENTS):
+        parts = [(i + 1 + k // 2, k % 2) for k in range(4)]
+        for equal in _EQUAL:
+            open_ = [x for k, x in enumerate(parts) if k not in equal] + [(i + 3, 0), (i + 3, 1)]
+            each.append(F.array(*[key + F.shiftleft((_byte(fp, *x) + (256 * q + 1)).cast("long"), 48) for q, x in enumerate(open_)]))
+    return F.get(F.array(*each), (F.shiftright(key, 32) % KEYS).cast("int"))
+
+
+def _split(tmp: Scratch, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """keyed (key, fp, node) with finer keys instead of the crowded ones. The sample only says where; all rows stay."""
+    if nodes.count() <= CROWDED:
+        return keyed
+    seen = keyed.where(F.pmod(F.xxhash64("node"), F.lit(_SAMPLED)) == 0).groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n"))
+    crowded = tmp.put(seen.where(F.col("n") * 2 * _SAMPLED > CROWDED).select("_key"), "crowded")
+    if crowded.isEmpty():
+        return keyed
+    marked = keyed.join(small(crowded), F.col("key") == F.col("_key"), "left")
+    one = marked.where("_key is null").select("key", "fp", "node")
+    return one.unionByName(marked.where("_key is not null").select(F.explode(_finer(F.col("fp"), F.col("key"))).alias("key"), "fp", "node"))
+
+
 def _within(x: np.ndarray, start: int) -> np.ndarray:
     """Whether differences x keep the budgets of all chains from that start; the last chain is the full distance."""
     ok, mask = np.ones(x.shape, bool), 0
@@ -137,7 +175,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def edges(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
         length = np.diff(cut)
-        start_of = (key >> 32) % KEYS // 5
+        start_of = (key >> 32 & 0xFFFF) % KEYS // 5
         two = cut[:-1][length == 2]
         u, v = [], []
         if len(two):
@@ -187,7 +225,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     nodes = rows.groupBy("fps").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id())
     nodes = tmp.put(nodes, "nodes")
     each = nodes.select("node", F.posexplode("fps").alias("which", "fp"))
-    keyed = each.select(F.explode(_keys(F.col("fp"), F.col("which"))).alias("key"), "fp", "node").repartition("key").sortWithinPartitions("key", "fp")
+    keyed = _split(tmp, nodes, each.select(F.explode(_keys(F.col("fp"), F.col("which"))).alias("key"), "fp", "node"))
+    keyed = keyed.repartition("key").sortWithinPartitions("key", "fp")
     edges = tmp.put(keyed.mapInArrow(_links, "u long, v long").distinct(), "edges")
     tmp.free()  # of the keys' shuffle
     roots = components(tmp, edges)

@@ -382,6 +382,16 @@ def test_simhash_keys_lose_nothing(spark):
     df = spark.createDataFrame(pairs, "a long, b long")
     k = df.select(F.arrays_overlap(simhash._keys(F.col("a"), F.lit(0)), simhash._keys(F.col("b"), F.lit(0))).alias("k"))
     assert all(x.k for x in k.collect())
+    finer = lambda c: F.flatten(F.transform(simhash._keys(F.col(c), F.lit(0)), lambda key: simhash._finer(F.col(c), key)))
+    k = df.select(F.arrays_overlap(finer("a"), finer("b")).alias("k"), F.size(F.array_distinct(finer("a"))).alias("n"))
+    assert all(x.k and x.n == 4 * simhash.KEYS for x in k.collect())
+
+
+def test_simhash_crowded_keys(spark, docs, monkeypatch):
+    want = sorted(simhash.near_duplicates(docs, prints=2).select("doc_id", "text_key", "component_id").collect(), key=str)
+    monkeypatch.setattr(simhash, "CROWDED", 2)
+    monkeypatch.setattr(simhash, "_SAMPLED", 1)
+    assert want == sorted(simhash.near_duplicates(docs, prints=2).select("doc_id", "text_key", "component_id").collect(), key=str)
 
 
 @pytest.mark.parametrize("limit", [0, 10_000])
