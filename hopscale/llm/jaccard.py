@@ -1,16 +1,19 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles, for the pipeline.
 
-A pair at Jaccard 0.8 differs in about 10 of 64 SimHash bits, so links of at most 3 bits cannot find it.
-Candidates are found by MinHash instead: 40 bands of 5 minima. A pair at 0.8 shares no band with chance
-(1 - 0.8 ** 5) ** 40 = 1.3e-7, a closer pair with less. Nothing is linked by a band alone: the shingle
-sets of a band's members are compared exactly, all that may reach the threshold and are not linked yet.
-
-Equal sets are one node. Bands with the same members are compared once. A band emits a spanning forest,
-not its pairs; a member that is linked already is left out of later comparisons within the band.
-
-A task holds the sets of one band, of CROWDED hashes at most. A band with more is cut into parts. Each part
+Candidates are found by operator 5's method, at distances that a threshold of 0.8 needs: SimHash fingerprints
+and pigeonring chains (`rings`). A pair at 0.8 is missed with chance 1.3e-7, a closer pair with less. Nothing
+is linked by fingerprints alone: the shingle sets of candidates are compared exactly, all that may reach the
+threshold and are not linked yet.
+
+Equal sets are one node. What the candidates' links connect is one place, and a set is in one place only.
+All pairs of a place are compared, but a member that is linked already is left out of later comparisons; a
+place emits a spanning forest, not its pairs. A place of more than CROWDED / 4 hashes may be a loose chain, and
+gives way to the groups of its single fingerprints, which are tighter. Groups with the same members are
+compared once.
+
+A task holds the sets of one place, of CROWDED hashes at most. A place with more is cut into parts. Each part
 is compared together with the first one; that links nearly all of a true group of copies. Then whoever is
-not in the band's largest component is compared with every part. A link that is still missing has an end
+not in the place's largest component is compared with every part. A link that is still missing has an end
 outside that component, so none is lost.
 """
 
@@ -24,11 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopscale.llm.rings import candidates, groups, prints, set_number, short
 from hopscale.operators.components import components
 from hopscale.scratch import Scratch, small
 
 BANDS, WIDTH = 40, 5
-#: Most hashes of one band's sets that one task compares.
+#: Most hashes of one place's sets that one task compares.
 CROWDED = 1 << 23
 _BLOCK = 2048
 _RANDOM = np.random.Generator(np.random.PCG64(42))
@@ -51,7 +55,7 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 
 
 def bands(own: np.ndarray) -> np.ndarray:
-    """Signed keys of the bands; none for an empty set."""
+    """Signed keys of the MinHash bands; none for an empty set. A yardstick: the stage's candidates come from `rings`."""
     if not len(own):
         return np.zeros(0, np.int64)
     low = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max, np.uint64)
@@ -64,62 +68,6 @@ def bands(own: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-    """Columns of each group of rows with equal first column, of which batches are sorted."""
-    rest: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key = b.column(0).to_numpy()
-        cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        for a, z in zip(cut[:-1], cut[1:], strict=True):
-            part = b.slice(a, z - a)
-            # the last group may go on in the next batch
-            if rest and rest[-1].column(0)[0] != part.column(0)[0]:
-                yield [pa.concat_arrays(c) for c in zip(*(r.columns for r in rest), strict=True)]
-                rest = []
-            rest.append(part)
-    if rest:
-        yield [pa.concat_arrays(c) for c in zip(*(r.columns for r in rest), strict=True)]
-
-
-def _members(threshold: float):
-    """Rows (key, n, node) sorted by key and n -> (place, node, n) of the bands' groups, cut where sizes are too far apart to reach the threshold."""
-
-    def cut(key: np.ndarray, n: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (n[:-1] / n[1:] < threshold)))
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        many = size[group] > 1
-        group, node, n = group[many], node[many], n[many]
-        order = np.lexsort((node, group))
-        group, node, n = group[order], node[order], n[order]
-        at = np.flatnonzero(np.concatenate((group[1:] != group[:-1], [True]))) + 1 if len(group) else np.zeros(0, np.int64)
-        place = [xxhash.xxh64_intdigest(node[a:z].tobytes(), 7) for a, z in zip([0, *at[:-1].tolist()], at.tolist(), strict=False)]
-        place = np.repeat(np.array(place, np.uint64).view(np.int64), np.diff(at, prepend=0))
-        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(node), pa.array(n)], ["place", "node", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[tuple[np.ndarray, ...]] = []
-        joined = lambda: [np.concatenate(c) for c in zip(*rest, strict=True)]
-        for b in batches:
-            now = tuple(c.to_numpy() for c in b.columns)
-            if not len(now[0]):
-                continue
-            last = int(np.searchsorted(now[0], now[0][-1]))
-            if last == 0 and rest and rest[-1][0][-1] == now[0][-1]:
-                rest.append(now)
-                continue
-            if last or rest:
-                rest.append(tuple(c[:last] for c in now))
-                yield cut(*joined())
-            rest = [tuple(c[last:] for c in now)]
-        if rest:
-            yield cut(*joined())
-
-    return run
-
-
 def forest(flat: np.ndarray, size: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
     """Edges that link sets just as all their pairs of at least that similarity would. flat: the sets behind one another."""
     _, flat = np.unique(flat, return_inverse=True)
@@ -149,6 +97,24 @@ def forest(flat: np.ndarray, size: np.ndarray, threshold: float) -> tuple[list[i
     return u, v
 
 
+def _places(tmp: Scratch, nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """(place, node, n): which sets meet, of candidates near (deal, node, root); nodes: (node, n)."""
+    # what all fingerprints connect, one place for a set
+    joined = components(tmp, near.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct(), "near_cc")
+    joined = tmp.put(joined.select(F.col("node").alias("_n"), F.col("root").alias("place")).join(nodes, F.col("_n") == F.col("node")).select("place", "node", "n"), "joined")
+    wide = tmp.put(joined.groupBy(F.col("place").alias("_p")).agg(F.sum("n").alias("all")).where(F.col("all") * 4 > F.lit(CROWDED)).select("_p"), "wide")
+    if wide.isEmpty():
+        return joined
+    wide = small(wide)
+    some = tmp.put(joined.join(wide, F.col("place") == F.col("_p")).select(F.col("node").alias("_n"), "n"), "in_wide")
+    found = tmp.put(near.join(some, F.col("node") == F.col("_n")).select("deal", "root", "node", "n"), "groups")
+    # groups of equal members get one place; if others did by chance, they would only meet in addition
+    same = F.xxhash64(F.count("*"), F.min("node"), F.bit_xor(F.xxhash64("node")))
+    same = found.groupBy(F.col("deal").alias("_d"), F.col("root").alias("_r")).agg(same.alias("place"))
+    single = found.join(same, (F.col("deal") == F.col("_d")) & (F.col("root") == F.col("_r"))).select("place", "node", "n").distinct()
+    return tmp.put(joined.join(wide, F.col("place") == F.col("_p"), "left_anti").unionByName(single), "places")
+
+
 def _in_parts(tmp: Scratch, members: DataFrame, known: DataFrame, compared: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """known edges and those of the crowded places: members (place, node, n, parts), of which compared makes the edges of places."""
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -184,8 +150,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x, shingle) for x in b.column(2).cast(pa.binary()).to_pylist()]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 1) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_key", "node", "n", "bands"])
+            columns = [b.column(0), b.column(1), pa.array(np.array([set_number(x) for x in sets], np.uint64).view(np.int64)), pa.array([len(x) for x in sets], pa.int64())]
+            columns += [pa.array([f(x) for x in sets], pa.list_(pa.int64())) for f in (prints, short)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n", "fps", "less"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,17 +160,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "own"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, node, own in _groups(batches):
+        for _, node, own in groups(batches):
             node = node.to_numpy()
             u, v = forest(own.flatten().to_numpy(), np.diff(own.offsets.to_numpy()), threshold)
             yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
-    rows = tmp.put(read.mapInArrow(hashed, "doc_id long, text_key long, node long, n long, bands array<long>"), "rows")
-    nodes = rows.groupBy("node", "n", "bands").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("at"))
-    nodes = tmp.put(nodes, "nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "n", "node").repartition("key").sortWithinPartitions("key", "n")
-    places = tmp.put(keyed.mapInArrow(_members(threshold), "place long, node long, n long").distinct(), "places")
-    tmp.free()  # of the keys' shuffle
+    whole = tmp.put(read.mapInArrow(hashed, "doc_id long, text_key long, node long, n long, fps array<long>, less array<long>"), "whole")
+    rows = tmp.put(whole.select("doc_id", "text_key", "node"), "rows")
+    nodes = whole.groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("fps").alias("fps"), F.first("less").alias("less"))
+    printed = tmp.put(nodes, "prints")
+    nodes = tmp.put(printed.drop("fps"), "nodes")
+    tmp.drop("whole")
+    near = candidates(tmp, printed.where("n > 0").select("node", "fps"))
+    tmp.drop("prints")
+    places = _places(tmp, nodes.select("node", "n"), near)
     # texts are read again for candidates only
     some = places.select(F.col("node").alias("_n")).distinct()
     some = tmp.put(nodes.join(some, F.col("node") == F.col("_n")).select("node", F.col("at.doc_id").alias("_i"), F.col("at.text_key").alias("_k")), "some")
@@ -223,9 +193,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         known = tmp.put(compared(places.join(small(crowded), F.col("place") == F.col("_p"), "left_anti")), "plain_edges")
         edges = _in_parts(tmp, places.join(small(crowded), F.col("place") == F.col("_p")).drop("_p"), known, compared)
     tmp.free()
+    if threshold <= 0.8:
+        # exact for sets of five, whose majorities say little about subsets of four
+        four = nodes.where("n = 4").select(F.col("node").alias("v"))
+        edges = edges.unionByName(nodes.where("n = 5").select(F.col("node").alias("u"), F.explode("less").alias("v")).join(four, "v").select("u", "v"))
     roots = tmp.put(components(tmp, edges), "roots")
     of = roots.select(F.col("node").alias("_n"), "root")
     least = nodes.select("node", "first").join(of, F.col("node") == F.col("_n")).groupBy("root").agg(F.min("first").alias("low"))
     of = tmp.put(of.join(least, "root"), "of")
     low = tmp.put(nodes.join(of, F.col("node") == F.col("_n"), "left").select(F.col("node").alias("_n"), F.when(F.col("_n").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", "node").alias("component")), "low")
-    return rows.select("doc_id", "text_key", "node").join(low, F.col("node") == F.col("_n")).select("doc_id", "text_key", "component_id", "component")
+    return rows.join(low, F.col("node") == F.col("_n")).select("doc_id", "text_key", "component_id", "component")

@@ -241,8 +241,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, prints: int = 1, threshold: float | None = None) -> DataFrame:
     """docs with one row of each component: that with the smallest id (of repeated rows, one). All columns stay, whatever their names.
 
-    With a threshold, links are pairs of at least that Jaccard similarity, found and verified by
-    hopscale.llm.jaccard, instead of fingerprints that are close by chance; prints is not used then.
+    With a threshold, links are pairs of at least that Jaccard similarity: fingerprints of the sets of shingles
+    and pigeonring chains at a distance of 7 find them (hopscale.llm.rings), and an exact comparison follows
+    (hopscale.llm.jaccard). Their number is fixed there, so prints is not used then.
     """
     tmp = Scratch(docs.sparkSession)
     if threshold is None:
