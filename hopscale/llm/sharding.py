@@ -104,8 +104,10 @@ def shard_docs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     """All rows and columns of docs with a struct column `_place` of shard and slot, as shard_rows places them.
 
     Rows are written once with a number that is unique whatever repeats, places are worked out on narrow
-    rows, and one join by the number brings them together. Nulls and repeated rows as for shard_rows. If
-    docs has a column `_place`, the new one has one more underscore, and so on; it is the last column.
+    rows, and one join by the number brings them together. It is a merge join at any size: a broadcast would
+    hold a place for each row, and where it ended the disk needed would jump by all rows. Nulls and repeated
+    rows as for shard_rows. If docs has a column `_place`, the new one has one more underscore, and so on; it
+    is the last column.
     """
     tmp = Scratch(docs.sparkSession)
     number, place, id_, row = (free(c, docs) for c in ("_number", "_place", "_of", "_row"))
@@ -113,9 +115,9 @@ def shard_docs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     rows = tmp.put(whole.select(*_narrow(doc_id, text, source, seed), F.col(number).alias(id_)), "rows")
     places = _placed(tmp, rows, n_shards, seed, spread)
     places = tmp.put(places.select(F.col(id_), F.struct("shard", "slot").alias(place)), "places")
-    tmp.free()
+    tmp.drop("rows", "placed", "offsets1", "offsets2")
     wide = whole.select(F.struct(*[whole[c] for c in docs.columns]).alias(row), number)
-    return wide.join(small(places), F.col(number) == F.col(id_)).select(f"{row}.*", place)
+    return wide.join(places.hint("merge"), F.col(number) == F.col(id_)).select(f"{row}.*", place)
 
 
 def write_shards(placed: DataFrame, path: str, *, place: str | None = None, files: int | None = None) -> None:
