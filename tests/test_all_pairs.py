@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import hopscale as H
 from hopscale.operators.sssp import ShortestPaths, explore, explore_many
 from hopscale.plans.queries import QUERIES
+from test_whole_queries import against_sql
 
 D = "/root/testdata/sf0.01"
 
@@ -63,3 +64,14 @@ def test_waves_find_what_single_searches_find(low):
         for at, row in zip(sources.tolist(), rows, strict=True):
             one = explore(starts.tolist(), ends.tolist(), costs.tolist(), at, math.inf)
             assert {k: x for k, x in enumerate(row.tolist()) if x < math.inf} == one
+
+
+@pytest.mark.parametrize("name", ["approx_error"])
+def test_dense_product_joins_the_activity_only(spark, name):
+    """The matrix is neither broadcast nor shuffled: beside it stands the broadcast activity, and sums are begun before the exchange."""
+    lines = plan(QUERIES[name](spark, D)).split("\n")
+    made = [x for x in lines if "Exchange" in x or "MapInArrow" in x or "HashAggregate" in x or "LeftOuter" in x]
+    assert not any(x in "".join(lines) for x in ("NestedLoopJoin", "CartesianProduct"))
+    at = next(i for i, x in enumerate(made) if "MapInArrow" in x)
+    assert "BroadcastHashJoin" in made[at - 1] and "partial_sum" in made[at - 2]
+    assert against_sql(spark, name)
