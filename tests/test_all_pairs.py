@@ -66,7 +66,7 @@ def test_waves_find_what_single_searches_find(low):
             assert {k: x for k, x in enumerate(row.tolist()) if x < math.inf} == one
 
 
-@pytest.mark.parametrize("name", ["approx_error"])
+@pytest.mark.parametrize("name", ["dense_accessibility", "approx_error"])
 def test_dense_product_joins_the_activity_only(spark, name):
     """The matrix is neither broadcast nor shuffled: beside it stands the broadcast activity, and sums are begun before the exchange."""
     lines = plan(QUERIES[name](spark, D)).split("\n")
