@@ -75,3 +75,31 @@ def test_dense_product_joins_the_activity_only(spark, name):
     at = next(i for i, x in enumerate(made) if "MapInArrow" in x)
     assert "BroadcastHashJoin" in made[at - 1] and "partial_sum" in made[at - 2]
     assert against_sql(spark, name)
+
+
+@pytest.mark.parametrize("zones", [None, [0, 2, 4, 5, 11, 20]])
+def test_costs_of_every_pair_of_zones(spark, zones):
+    """As those of get_costs, also beyond the bound; pairs without a path have no layer."""
+    network, *_ = odd_network(spark)
+    h = H.Hierarchy(network, base_radius=2.0, zones=zones)
+    z = h.zones.select(F.col("zone").alias("src"))
+    want = sorted(map(tuple, h.get_costs(z.crossJoin(z.withColumnRenamed("src", "dst"))).collect()), key=lambda r: r[:2])
+    assert len({r[3] for r in want}) > 1 and any(r[3] is None and r[2] == math.inf for r in want)
+    for most in (100, 2):
+        assert sorted(map(tuple, h.get_all_costs(most).collect()), key=lambda r: r[:2]) == want
+
+
+def test_zones_whose_layers_store_nothing_have_rows(spark):
+    """Stored tables may lack a zone's costs: its row is there, without costs."""
+    network, *_ = odd_network(spark)
+    h = H.Hierarchy(network, base_radius=2.0)
+    h.costs = h.costs.where("src not in (4, 20) and dst <> 4")
+    z = h.zones.select(F.col("zone").alias("src"))
+    want = h.get_costs(z.crossJoin(z.withColumnRenamed("src", "dst")))
+    got = h.get_all_costs()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("src = 20").count() == 9
+
+
+def test_query_of_every_pair_joins_no_pairs(spark):
+    made = plan(QUERIES["get_cost_pairs"](spark, D))
+    assert "NestedLoopJoin" not in made and "CartesianProduct" not in made
