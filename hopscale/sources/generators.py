@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hopscale.network import Network
 from hopscale.operators.components import components
-from hopscale.scratch import Scratch
+from hopscale.scratch import Scratch, small
 
 
 def _check(**values) -> None:
@@ -54,20 +54,52 @@ def _points(spark: SparkSession, xy: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pa.table({"node_id": np.arange(len(xy)), "x": x, "y": y}))
 
 
-def pairs_within(points: DataFrame, radius: float) -> DataFrame:
-    """(src, dst, cost), src < dst: pairs at most `radius` apart."""
-    return between(points, points, radius).where("src < dst")
+#: Points of a cell that are compared with its neighbours in one piece; of fuller cells, pieces of about that many.
+CELL_POINTS = 4096
+#: Rows dealt to a task of the join.
+TASK_ROWS = 1_000_000
+_AHEAD = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 
-def between(some: DataFrame, others: DataFrame, radius: float) -> DataFrame:
-    """(src, dst, cost): pairs of points of two tables at most `radius` apart. A range join: equal cells after one side is dealt to its 3 x 3 neighbours."""
-    cell = lambda c: F.floor(F.col(c) / float(radius)).cast("long")
+def pairs_within(points: DataFrame, radius: float, cell_points: int = CELL_POINTS) -> DataFrame:
+    """(src, dst, cost), src < dst: pairs at most `radius` apart. Of two neighbouring cells one is dealt to the other, so a pair is met once."""
+    met = _met(points, points, radius, _AHEAD, cell_points)
+    met = met.where(F.when(F.col("own"), F.col("src") < F.col("dst")).otherwise(F.col("src") != F.col("dst")))
+    return met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.sqrt("squares").alias("cost"))
+
+
+def between(some: DataFrame, others: DataFrame, radius: float, cell_points: int = CELL_POINTS) -> DataFrame:
+    """(src, dst, cost): pairs of points of two tables at most `radius` apart."""
+    met = _met(some, others, radius, [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)], cell_points)
+    return met.select("src", "dst", F.sqrt("squares").alias("cost"))
+
+
+def _met(some: DataFrame, others: DataFrame, radius: float, steps: list[tuple[int, int]], cell_points: int) -> DataFrame:
+    """(src, dst, squares, own): pairs whose squares' sum is at most the radius's square. A range join: equal cells after the others are dealt by `steps`; own marks those of one cell.
+
+    The work is the pairs of a cell and not its bytes, so the cells are dealt to tasks by number and never
+    broadcast, and a crowded cell is dealt in pieces, each with all of the others.
+    """
+    tmp, wide = Scratch(some.sparkSession), float(radius) * (1 + 1e-9)  # differences that round to the radius stay neighbours
+    cell = lambda c: F.floor(F.col(c) / wide).cast("long")
     a = some.select(F.col("node_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
     b = others.select(F.col("node_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("bx0"), cell("y").alias("by0"))
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    b = b.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("dst", "bx", "by", (F.col("bx0") + F.col("dx")).alias("cx"), (F.col("by0") + F.col("dy")).alias("cy"))
-    dist = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    return a.join(b, ["cx", "cy"]).select("src", "dst", dist.alias("cost")).where(F.col("cost") <= float(radius))
+    step = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps])).alias("d")
+    b = b.select("*", step).select("dst", "bx", "by", (F.col("bx0") + F.col("d.dx")).alias("cx"), (F.col("by0") + F.col("d.dy")).alias("cy"), ((F.col("d.dx") == 0) & (F.col("d.dy") == 0)).alias("own"))
+    cells = tmp.put(a.groupBy("cx", "cy").agg(F.count("*").alias("n")), "cells")
+    total = cells.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    if (total.most or 0) > cell_points:
+        pieces = small(cells.where(F.col("n") > cell_points).select("cx", "cy", F.ceil(F.col("n") / cell_points).cast("int").alias("pieces")))
+        count = F.coalesce("pieces", F.lit(1))
+        a = a.join(pieces, ["cx", "cy"], "left").withColumn("piece", F.pmod(F.xxhash64("src"), count).cast("int")).drop("pieces")
+        b = b.join(pieces, ["cx", "cy"], "left").withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1))).drop("pieces")
+    else:
+        a, b = a.withColumn("piece", F.lit(0)), b.withColumn("piece", F.lit(0))
+    tasks = max(4 * some.sparkSession.sparkContext.defaultParallelism, (1 + len(steps)) * (total.n or 0) // TASK_ROWS)
+    deal = lambda df: df.repartition(tasks, "cx", "cy", "piece")
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    met = deal(a).join(deal(b).hint("merge"), ["cx", "cy", "piece"]).select("src", "dst", (dx * dx + dy * dy).alias("squares"), "own")
+    return met.where(F.col("squares") <= float(radius) * float(radius))
 
 
 def _connected(tmp: Scratch, points: DataFrame, edges: DataFrame, closest: bool, radius: float) -> DataFrame:
